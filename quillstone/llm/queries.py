@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import table
+from quillstone.llm.exact_dedup import exact_duplicates
+from quillstone.llm.language import learn_languages, predict_language
+from quillstone.llm.licences import scan_licences
+from quillstone.llm.mixing import mix_sources
 from quillstone.llm.near_dedup import near_duplicates
+from quillstone.llm.toxicity import learn_toxicity, toxicity_scores
+
+
+def _fold(parts: int) -> Column:
+    """The remainder by which documents are held out: of the CRC-32 of the id as text."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts, F.lit(-1))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +24,39 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), budget=4, shingle=4, seed=42)
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document that stays for each text, by a stateful stream of digests."""
+    found = exact_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document by a lexicon learned on the labelled rows that are not held out."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), _fold(5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity_scores(docs, learn_toxicity(docs.join(labels, "doc_id").where(~held)))
+    predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), predicted, "toxic_hits")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by naive Bayes, learned on the rows that are not held out."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _fold(4) == 2
+    found = predict_language(docs.select("doc_id", "text"), learn_languages(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that each source has the same expected number of rows, as many in all as there are."""
+    return mix_sources(table(spark, sf_dir, "documents"), weights=None, epochs=1.0, seed=42)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of each document, its own or inherited; documents lie in folders source/lang."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return scan_licences(table(spark, sf_dir, "documents"), path)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_license_scan)}
+
 ORACLES: dict[str, str] = {}
