@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.llm.bpe import tokenise
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_duplicates
 from quillstone.llm.language import learn_languages, predict_language
 from quillstone.llm.licences import scan_licences
+from quillstone.llm.line_dedup import dedup_lines
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.near_dedup import near_duplicates
+from quillstone.llm.token_files import read_token_files, write_token_files
+from quillstone.llm.top_k import exact_top_k, quantise
 from quillstone.llm.toxicity import learn_toxicity, toxicity_scores
 
 
@@ -57,6 +62,51 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_dedup, op3_toxicity, op4_language_id, op5_mix_sources, op6_license_scan)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document and their decoded text, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+    ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
+    return found.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every vector whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", quantise(F.col("embedding")).alias("v"))
+    found = exact_top_k(rows, rows.where(F.col("vec_id") % 20 == 0), k=20, id_col="vec_id", vector_col="v")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines and sentences that a document before them has, with the spans that stay and go."""
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    spans = {c: F.to_json(c) for c in ("kept_spans", "removed_spans", "copies_of")}
+    return found.withColumns(spans)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to token files and read back."""
+    docs = table(spark, sf_dir, "documents")
+    found = read_token_files(write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_exact_dedup,
+        op3_toxicity,
+        op4_language_id,
+        op5_mix_sources,
+        op6_license_scan,
+        op7_bpe,
+        op8_exact_top_k,
+        op9_line_dedup,
+        op10_token_files,
+    )
+}
 
 ORACLES: dict[str, str] = {}
