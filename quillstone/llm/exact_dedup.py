@@ -14,11 +14,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import save, shared_folder
+from quillstone.llm.common import few, save, shared_folder
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Rows that a broadcast set of locators has at most (some 120 bytes each); above, rows are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 
 
 def sha256(text: Column) -> Column:
@@ -59,11 +57,6 @@ def retain(feed: DataFrame, folder: str) -> DataFrame:
     return newest.agg(F.max_by("keep", "copies").alias("keep"), F.max("copies").alias("copies"))
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """`rows` with a broadcast hint if they are proven few."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def exact_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -89,7 +82,7 @@ def exact_duplicates(
 
     hits = retained.where("copies > 1").select("digest")
     places = save(feed.join(hits, "digest", "left_semi").select("digest", "file", "row"), "hits")
-    bytes_of = content.select("id", "text", "file", "row").join(_few(places), ["file", "row"])
+    bytes_of = content.select("id", "text", "file", "row").join(few(places), ["file", "row"])
     differ = save(
         bytes_of.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest"),
         "collisions",
@@ -127,4 +120,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "*", F.col("_metadata.file_path").alias("placed_file"), F.col("_metadata.row_index").alias("placed_row")
     )
     here = (F.col("placed_file") == F.col("gone_file")) & (F.col("placed_row") == F.col("gone_row"))
-    return placed.join(_few(gone), here, "left_anti").drop("placed_file", "placed_row")
+    return placed.join(few(gone), here, "left_anti").drop("placed_file", "placed_row")

@@ -10,7 +10,7 @@ from quillstone.llm.bpe import tokenise
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_duplicates
 from quillstone.llm.language import learn_languages, predict_language
-from quillstone.llm.licences import scan_licences
+from quillstone.llm.licences import MARKERS, TEMPLATES, scan_licences
 from quillstone.llm.line_dedup import dedup_lines
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.near_dedup import near_duplicates
@@ -109,4 +109,63 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_TEMPLATES = ", ".join(f"('{name}', '{body}')" for name, body in TEMPLATES.items())
+_MARKED = " OR ".join(f"contains(lower({{0}}), '{m}')" for m in MARKERS)
+_TERMS = r"unnest(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda t: t <> ''))"
+
+#: Equivalent SQL of the queries that it can express.
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op5_mix_sources": """
+WITH RECURSIVE sizes AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+totals AS (SELECT count(*)::DOUBLE AS sources, sum(n) AS rows FROM sizes),
+rates AS (SELECT source, 1.0::DOUBLE / sources * 1.0::DOUBLE * rows / n AS rate FROM sizes, totals),
+cdf AS (
+  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS total FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, log_p + ln(rate) - ln((k + 1)::DOUBLE), total + exp(log_p + ln(rate) - ln((k + 1)::DOUBLE))
+  FROM cdf WHERE k + 1 <= floor(rate + 12 * sqrt(rate) + 24)),
+steps AS (SELECT source, list(total) AS totals FROM cdf GROUP BY source),
+drawn AS (
+  SELECT d.*, (('0x' || substr(md5('42:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u, totals
+  FROM documents d JOIN steps USING (source))
+SELECT doc_id, text, lang, source, n_chars, unnest(range(len(list_filter(totals, lambda t: t <= u))))::INTEGER AS copy FROM drawn""",
+    "op6_license_scan": f"""
+WITH tpl(license, body) AS (VALUES {_TEMPLATES}),
+counts AS (SELECT license, term, count(*)::DOUBLE AS c FROM (SELECT license, {_TERMS} AS term FROM tpl) GROUP BY ALL),
+idf AS (SELECT term, ln({1.0 + len(TEMPLATES)} / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term),
+weighed AS (SELECT license, term, c * idf AS w FROM counts JOIN idf USING (term)),
+unit AS (SELECT license, term, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS weight FROM weighed),
+cut AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines, unnest(string_split(text, chr(10))) AS body FROM documents),
+lines AS (SELECT * FROM cut WHERE {_MARKED.format("body")}),
+words AS (SELECT body, term, count(*)::DOUBLE AS c FROM (SELECT body, {_TERMS} AS term FROM (SELECT DISTINCT body FROM lines)) GROUP BY ALL),
+vectors AS (SELECT body, term, c * coalesce(idf, ln({1.0 + len(TEMPLATES)}) + 1) AS w FROM words LEFT JOIN idf USING (term)),
+norms AS (SELECT body, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY body),
+scored AS (
+  SELECT body, license, round(sum(w * weight) / any_value(norm), 6) AS cosine
+  FROM vectors JOIN unit USING (term) JOIN norms USING (body) GROUP BY body, license),
+best AS (SELECT * FROM scored WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY body ORDER BY cosine DESC, license) = 1),
+own AS (
+  SELECT doc_id, license, cosine, min(lines) OVER (PARTITION BY doc_id) AS lines FROM lines JOIN best USING (body)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+placed AS (SELECT doc_id, source || '/' || lang AS folder, license, cosine, lines FROM documents LEFT JOIN own USING (doc_id)),
+given AS (
+  SELECT folder, license AS up, cosine AS near FROM placed WHERE lines <= 3
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1)
+SELECT doc_id, coalesce(license, up) AS license, coalesce(cosine, near) AS cosine,
+       CASE WHEN license IS NOT NULL THEN 'own' WHEN up IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+       CASE WHEN license IS NULL AND up IS NOT NULL THEN folder END AS directory
+FROM placed LEFT JOIN given USING (folder)""",
+    "op8_exact_top_k": """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
+}
