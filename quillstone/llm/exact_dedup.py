@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import few, save, shared_folder
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows for each partition of the state. How many there are is fixed when the state is begun, whatever a later session's
+#: shuffle setting; each one is a store of its own with files of some megabytes.
+STATE_ROWS = 2_000_000
 
 
 def sha256(text: Column) -> Column:
@@ -74,6 +77,8 @@ def exact_duplicates(
 
     apart = spark.newSession()  # its settings end with it
     apart.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    stores = max(spark.sparkContext.defaultParallelism, -(-feed.count() // STATE_ROWS))
+    apart.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(stores))
     apart.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     apart.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     apart.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
