@@ -19,10 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as the tokenizer sees it; str.split() parts at some control characters besides.
 _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
+#: A rank above all merges.
+_NEVER = 1 << 40
 #: Words that a worker remembers.
 REMEMBERED = 300_000
 #: Texts that are encoded together.
@@ -60,35 +63,38 @@ class WordBpe:
         self.added = {x["content"]: x["id"] for x in given["added_tokens"]}
         self.marks = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.words = regex.compile(split[0]["pattern"]["Regex"])
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}  # words met so far
+        self.spelt = {v: k for k, v in [*self.vocab.items(), *self.added.items()]}
         self.longest = max(map(len, self.vocab))
         size = max(self.vocab.values()) + 1
         self.left, self.right = np.full(size, -1), np.full(size, -1)
         self.born = np.full(size, -1)  # the merge that makes a token; letters have none
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}  # by left * size + right
+        self.made: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             a, b, made = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.ranks.setdefault((a, b), (rank, made))
+            self.rank_of.setdefault(a * size + b, rank)
+            self.made.append(made)
             if self.born[made] < 0:
                 self.left[made], self.right[made], self.born[made] = a, b, rank
-        keys = np.array([a * size + b for a, b in self.ranks])
+        keys = np.array(list(self.rank_of))
         order = np.argsort(keys)
         self.keys, self.size = keys[order], size
-        self.key_rank = np.array([r for r, _ in self.ranks.values()])[order]
+        self.key_rank = np.array(list(self.rank_of.values()))[order]
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair, or a number above all."""
         key = a * self.size + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_rank[at], 1 << 40)
+        return np.where(self.keys[at] == key, self.key_rank[at], _NEVER)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE of the joined strings of two tokens keeps them apart, for arrays of pairs."""
         a, b = a.copy(), b.copy()
         good = np.ones(len(a), bool)
-        until = np.full(len(a), 1 << 40)  # merges across the boundary must not come before this one
+        until = np.full(len(a), _NEVER)  # merges across the boundary must not come before this one
         live = np.arange(len(a))
         while len(live):
             x, y = a[live], b[live]
@@ -121,22 +127,21 @@ class WordBpe:
         return out
 
     def exact(self, word: str) -> list[int]:
-        """Merges of the least rank first, from left to right."""
+        """Merges of the least rank first, the leftmost of equal ones. Only pairs next to a merge change."""
+        size, rank_of = self.size, self.rank_of
         ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.suffix]]
-        none = (1 << 40, -1)
-        while len(ids) > 1:
-            best = min(self.ranks.get(p, none) for p in zip(ids, ids[1:]))
-            if best is none or best[1] < 0:
+        ranks = [rank_of.get(a * size + b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == _NEVER:
                 break
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and self.ranks.get((ids[k], ids[k + 1]), none) == best:
-                    out.append(best[1])
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+            k = ranks.index(least)
+            made = ids[k] = self.made[least]
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = rank_of.get(ids[k - 1] * size + made, _NEVER)
+            if k < len(ranks):
+                ranks[k] = rank_of.get(made * size + ids[k + 1], _NEVER)
         return ids
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
@@ -152,6 +157,13 @@ class WordBpe:
             guess[k] = self.exact(words[k])
         return guess
 
+    def spell(self, ids: np.ndarray) -> str:
+        """The spellings of tokens, joined by blanks; ids that are no token are left out."""
+        try:
+            return " ".join(map(self.spelt.__getitem__, ids.tolist()))
+        except KeyError:
+            return " ".join(self.spelt[i] for i in ids.tolist() if i in self.spelt)
+
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Tokens of parts of texts between white space, as little-endian unsigned 32-bit integers."""
         parts: list[list[str | int]] = []
@@ -169,8 +181,15 @@ class WordBpe:
                     else:
                         run = unicodedata.normalize("NFC", run)
                         run = "".join(map(str.lower, run)) if "Σ" in run else run.lower()
-                    for word in self.words.findall(run):
-                        word = word if word.isascii() and word.isprintable() else "".join(letters[b] for b in word.encode("utf-8", "replace"))
+                    if run.isalpha():
+                        words = [run]
+                    elif run[-1] in ".,;:" and run[:-1].isalpha():
+                        words = [run[:-1], run[-1]]
+                    else:
+                        words = self.words.findall(run)
+                    for word in words:
+                        if not (word.isascii() and word.isprintable()):
+                            word = word.encode("utf-8", "replace").decode("latin-1").translate(letters)
                         own.append(word)
                         if word not in known:
                             fresh.add(word)
@@ -246,21 +265,31 @@ def decode(spark: SparkSession, ids: Column, path: str) -> Column:
     @F.arrow_udf("string")
     def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe, _ = _loaded("own", config.value, WordBpe)
-        spelt = {v: k for k, v in [*bpe.vocab.items(), *bpe.added.items()]}
         for lists in batches:
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-            try:
-                words = [list(map(spelt.__getitem__, flat[a:b].tolist())) for a, b in zip([0, *ends], ends)]
-            except KeyError:
-                words = [[spelt[i] for i in flat[a:b].tolist() if i in spelt] for a, b in zip([0, *ends], ends)]
-            yield pa.array([" ".join(w) for w in words], pa.string())
+            yield pa.array([bpe.spell(flat[a:b]) for a, b in zip([0, *ends], ends)], pa.string())
 
     return texts(ids)
 
 
 def tokenise(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """`docs` with `ids` and `decoded` in place of any such columns; repeated rows get equal results."""
-    spark = docs.sparkSession
-    encoded = docs.drop("ids", "decoded").withColumn("ids", encode(spark, F.col(text_col), path))
-    return encoded.withColumn("decoded", decode(spark, F.col("ids"), path))
+    """`docs` without the text column, with `ids` and the `decoded` text in place of any such columns.
+
+    The ids are those of `encode`, and the text is decoded from them as by `decode`, in one pass in which a task holds
+    some hundred texts' tokens at a time. Repeated rows get equal results; an empty table stays empty.
+    """
+    config = _config(docs.sparkSession, path)
+    rest = docs.drop(text_col, "ids", "decoded")
+    kind = T.StructType([*rest.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, memory = _loaded("own", config.value, WordBpe)
+        for batch in batches:
+            for k in range(0, batch.num_rows, _TOGETHER):
+                part = batch.slice(k, _TOGETHER)
+                own = encode_texts(part.column(0).to_pylist(), bpe.encode_pieces, memory)
+                texts = pa.array([bpe.spell(np.frombuffer(x, "<u4")) for x in own], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], as_lists(own), texts], kind.names)
+
+    return docs.select(F.col(text_col).alias("text"), *(F.col(f"`{c}`") for c in rest.columns)).mapInArrow(run, kind)
