@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from quillstone.catalog import Attribute, EntitySchema
 
+#: Columns of the store itself, such as times; attributes bound to them are read-only and never written.
+SYSTEM_PREFIX = "sys_"
 _LEAF = "struct<array_indices:string,value_text:string,value_numeric:double>"
 
 
@@ -175,7 +177,7 @@ def decode_hot(attribute: Attribute, value: Column) -> Column:
 
 
 def _hot(schema: EntitySchema) -> list[Attribute]:
-    return [a for a in schema.attributes.values() if a.column and a.name not in schema.arrays and not a.column.startswith("ltbase_")]
+    return [a for a in schema.attributes.values() if a.column and a.name not in schema.arrays and not a.column.startswith(SYSTEM_PREFIX)]
 
 
 def to_hot(df: DataFrame, schema: EntitySchema) -> DataFrame:

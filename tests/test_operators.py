@@ -124,7 +124,7 @@ def test_times():
     assert parse_time("2024-05") == parse_time("2024-05-01")
 
 
-def test_sorting_puts_missing_values_as_the_reference_does(items):
+def test_sorting_puts_missing_values_last_or_first(items):
     order = lambda d: [r["row_id"] for r in items.orderBy(*sort_order(items, ITEM, ["price"], d)).collect()]
     assert order("asc") == ["c", "a", "d", "b"] and order("desc") == ["b", "a", "d", "c"]
     by_tag = [r["row_id"] for r in items.orderBy(*sort_order(items, ITEM, ["tags"])).collect()]
