@@ -23,9 +23,8 @@ ORACLE_SQL: str | None = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay. The model is learned from the labelled rows of the folder."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
-    model = learn_toxicity(labelled.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    model = learn_toxicity(table(spark, sf_dir, "documents"), labels)
     return toxicity_scores(docs, model).where(F.col("toxicity") < 0.5).select(*docs.columns)
 
 

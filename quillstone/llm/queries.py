@@ -39,7 +39,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of each document by a lexicon learned on the labelled rows that are not held out."""
     docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), _fold(5) == 0
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    scored = toxicity_scores(docs, learn_toxicity(docs.join(labels, "doc_id").where(~held)))
+    scored = toxicity_scores(docs, learn_toxicity(docs, labels.where(~held)))
     predicted = (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
     return scored.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), predicted, "toxic_hits")
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import few, save
+
 # Characters that look like Latin letters, and the letters they stand for.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
@@ -134,27 +136,34 @@ def _curve(sums: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[fl
 
 
 def learn_toxicity(
-    labelled: DataFrame,
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 60_000,
     max_terms: int = 20_000,
     least_docs: int = 3,
-    least_odds: float = 3.0,
+    false_terms: float = 1.0,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
-    """A model from labelled rows (0 or 1; others are ignored), about `max_rows` of them at most, chosen by a hash.
-
-    A term is a word of a folded text. Its weight is the smoothed log odds ratio of toxic and other texts that hold
-    it, less two standard errors; terms in `least_docs` toxic texts with `least_odds` or more enter, the heaviest
-    `max_terms` at most. Without usable labels the seed terms remain.
+    """A model from the `docs` that `labels` give a label of 0 or 1 (others are ignored).
+
+    Of the labels a hash chooses about `max_rows` at most, before they meet the texts; so few ids are broadcast, and
+    only the chosen texts are kept for the passes that follow. A term is a word of a folded text, in `least_docs`
+    texts at least. Its weight is the log odds of a text that holds it being toxic, at the lower end of their 95 %
+    interval (Wilson's), over those of any text. Terms enter whose share of toxic texts is so unlikely to be chance
+    that `false_terms` of all terms are expected to enter by it (by Chernoff's bound), `max_terms` at most, the
+    heaviest first. Without usable labels the seed
+    terms remain. Null ids meet none; repeated labels count as often as they are there.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where(F.col("label").isin(0, 1))
-    total = rows.count()
+    chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    total = chosen.count()
     if total > max_rows:
-        share = F.pmod(F.xxhash64("text", "label"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        rows = rows.where(share < max_rows / total)
+        share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+        chosen = chosen.where(share < max_rows / total)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = save(texts.join(few(chosen), "id").select("text", "label"), "labelled")
 
     @F.pandas_udf("array<string>")
     def terms(texts: pd.Series) -> pd.Series:
@@ -163,12 +172,16 @@ def learn_toxicity(
     size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     with_term = rows.select("label", F.explode(terms("text")).alias("term")).groupBy("term")
-    count = with_term.agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g")).where(F.col("b") >= least_docs)
-    b, g = F.col("b") + 0.5, F.col("g") + 0.5
-    odds = F.log(b / (bad + 1 - b)) - F.log(g / (good + 1 - g))
-    error = F.sqrt(1 / b + 1 / (bad + 1 - b) + 1 / g + 1 / (good + 1 - g))
-    heavy = count.withColumn("odds", odds).where(F.col("odds") >= least_odds).withColumn("weight", F.col("odds") - error)
-    heavy = heavy.where("weight > 0").orderBy(F.desc("weight"), "term").limit(max_terms)
+    count = with_term.agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g"))
+    count = save(count.where(F.col("b") + F.col("g") >= least_docs), "terms")
+    n, z, rate = F.col("b") + F.col("g"), F.lit(1.96), (bad + 1) / (bad + good + 2)
+    share = F.col("b") / n
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    weight = F.ln(low / (1 - low)) - F.lit(math.log(rate / (1 - rate)))
+    surprise = n * (share * F.ln(share / rate) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0))
+    heavy = count.where("b > 0").select("term", weight.alias("weight"), surprise.alias("surprise"))
+    heavy = heavy.where((F.col("weight") > 0) & (F.col("surprise") >= math.log(max(count.count(), 1) / false_terms)))
+    heavy = heavy.orderBy(F.desc("weight"), "term").limit(max_terms)
     weights = dict.fromkeys(map(fold, SEED_TERMS), SEED_WEIGHT)
     if bad and good:
         weights |= {r["term"]: r["weight"] for r in heavy.collect()}  # at most max_terms rows
