@@ -62,7 +62,7 @@ class ToxicityModel:
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = EXCEPTIONS
-    slope: float = 1.0
+    slope: float = 1.5
     offset: float = -4.0
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -75,8 +75,8 @@ class ToxicityModel:
         return found
 
 
-def _matches(text: str, found: ahocorasick.Automaton) -> tuple[float, int]:
-    """Sum of the weights of the matches of a folded text outside exceptions, and their number."""
+def _matches(text: str, found: ahocorasick.Automaton) -> list[float]:
+    """Weights of the matches of a folded text outside exceptions."""
     hits, harmless = [], []
     for last, (size, weight) in found.iter(text):
         first = last + 1 - size
@@ -85,7 +85,7 @@ def _matches(text: str, found: ahocorasick.Automaton) -> tuple[float, int]:
         (hits if weight else harmless).append((first, last, weight))
     if harmless:
         hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in harmless)]
-    return sum(h[2] for h in hits), len(hits)
+    return [h[2] for h in hits]
 
 
 def normalised(weight: float, words: int) -> float:
@@ -93,13 +93,15 @@ def normalised(weight: float, words: int) -> float:
     return weight / (1 + math.log1p(words / 200))
 
 
-def _raw(texts: pd.Series, found: ahocorasick.Automaton) -> pd.DataFrame:
+def _raw(texts: pd.Series, found: ahocorasick.Automaton, floors: tuple[float, ...] = (0.0,)) -> pd.DataFrame:
+    """Normalised sums over the matches that weigh each of `floors` or more, and the number of matches."""
     rows = []
     for text in texts:
         folded = fold(text)
-        weight, hits = _matches(folded, found) if len(found) else (0.0, 0)
-        rows.append((normalised(weight, folded.count(" ") + folded.count("\n") + 1), hits))
-    return pd.DataFrame(rows, columns=["raw", "hits"])
+        weights = _matches(folded, found) if len(found) else []
+        words = folded.count(" ") + folded.count("\n") + 1
+        rows.append(([normalised(sum(w for w in weights if w >= f), words) for f in floors], len(weights)))
+    return pd.DataFrame({"raw": [r[0] for r in rows], "hits": [r[1] for r in rows]})
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
@@ -110,13 +112,13 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the lexicon's size
 
-    @F.pandas_udf("raw double, hits long")
+    @F.pandas_udf("raw array<double>, hits long")
     def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = shared.value.automaton()
         for texts in batches:
             yield _raw(texts, found)
 
-    curve = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("toxic_match.raw") + F.lit(model.offset))))
+    curve = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("toxic_match.raw")[0] + F.lit(model.offset))))
     scored = docs.drop("toxicity", "toxic_hits").withColumn("toxic_match", match(F.col(text_col)))
     return scored.withColumns({"toxicity": curve, "toxic_hits": F.col("toxic_match.hits")}).drop("toxic_match")
 
@@ -135,6 +137,24 @@ def _curve(sums: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
+def _weigh(count: DataFrame, bad: int, good: int, least_docs: int, false_terms: float, most: int) -> dict[str, float]:
+    """Terms and weights from counts of toxic and other texts (term, b, g)."""
+    count = count.where(F.col("b") + F.col("g") >= least_docs)
+    n, z, rate = F.col("b") + F.col("g"), F.lit(1.96), (bad + 1) / (bad + good + 2)
+    share = F.col("b") / n
+    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    weight = F.ln(low / (1 - low)) - F.lit(math.log(rate / (1 - rate)))
+    surprise = n * (share * F.ln(share / rate) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0))
+    heavy = count.where("b > 0").select("term", weight.alias("weight"), surprise.alias("surprise"))
+    enough = math.log(max(count.count(), 1) / false_terms)
+    heavy = heavy.where((F.col("weight") >= FLOORS[0]) & (F.col("surprise") >= enough))
+    return {r["term"]: r["weight"] for r in heavy.orderBy(F.desc("weight"), "term").limit(most).collect()}
+
+
+#: Least weights of terms that are tried on the rows put aside.
+FLOORS = (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5)
+
+
 def learn_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -154,48 +174,51 @@ def learn_toxicity(
     texts at least. Its weight is the log odds of a text that holds it being toxic, at the lower end of their 95 %
     interval (Wilson's), over those of any text. Terms enter whose share of toxic texts is so unlikely to be chance
     that `false_terms` of all terms are expected to enter by it (by Chernoff's bound), `max_terms` at most, the
-    heaviest first. Without usable labels the seed
-    terms remain. Null ids meet none; repeated labels count as often as they are there.
+    heaviest first. A quarter of the rows is put aside: on them, and with terms from the others, the least weight
+    and the logistic curve are fitted. Then all rows give the terms. Without usable labels the seed terms remain.
+    Null ids meet none; repeated labels count as often as they are there.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     total = chosen.count()
     if total > max_rows:
         share = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
         chosen = chosen.where(share < max_rows / total)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = save(texts.join(few(chosen), "id").select("text", "label"), "labelled")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(text_col), F.lit(4)) == 0).alias("aside"))
+    rows = save(texts.join(few(chosen), "id").select("text", "label", "aside"), "labelled")
 
     @F.pandas_udf("array<string>")
     def terms(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: list(set(_WORD.findall(fold(text)))))
 
-    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
-    with_term = rows.select("label", F.explode(terms("text")).alias("term")).groupBy("term")
-    count = with_term.agg(F.sum("label").alias("b"), F.sum(1 - F.col("label")).alias("g"))
-    count = save(count.where(F.col("b") + F.col("g") >= least_docs), "terms")
-    n, z, rate = F.col("b") + F.col("g"), F.lit(1.96), (bad + 1) / (bad + good + 2)
-    share = F.col("b") / n
-    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    weight = F.ln(low / (1 - low)) - F.lit(math.log(rate / (1 - rate)))
-    surprise = n * (share * F.ln(share / rate) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0))
-    heavy = count.where("b > 0").select("term", weight.alias("weight"), surprise.alias("surprise"))
-    heavy = heavy.where((F.col("weight") > 0) & (F.col("surprise") >= math.log(max(count.count(), 1) / false_terms)))
-    heavy = heavy.orderBy(F.desc("weight"), "term").limit(max_terms)
-    weights = dict.fromkeys(map(fold, SEED_TERMS), SEED_WEIGHT)
-    if bad and good:
-        weights |= {r["term"]: r["weight"] for r in heavy.collect()}  # at most max_terms rows
-    model = ToxicityModel(weights, exceptions)
-    if not (bad and good):
-        return model
-    found = rows.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    seeds = dict.fromkeys(map(fold, SEED_TERMS), SEED_WEIGHT)
+    size = {(r["label"], r["aside"]): r["count"] for r in rows.groupBy("label", "aside").count().collect()}
+    bad, good = size.get((1, False), 0), size.get((0, False), 0)
+    if not (bad and good and size.get((1, True)) and size.get((0, True))):
+        return ToxicityModel(seeds, exceptions)
+    with_term = rows.select("label", "aside", F.explode(terms("text")).alias("term")).groupBy("term")
+    sums = {"b": F.sum("label"), "g": F.sum(1 - F.col("label"))}
+    aside = F.col("aside")
+    sums |= {"fit_b": F.sum(F.when(~aside, F.col("label")).otherwise(0)), "fit_g": F.sum(F.when(~aside, 1 - F.col("label")).otherwise(0))}
+    count = save(with_term.agg(*(c.alias(n) for n, c in sums.items())).where(F.col("b") + F.col("g") >= least_docs), "terms")
+    fitted = seeds | _weigh(count.select("term", F.col("fit_b").alias("b"), F.col("fit_g").alias("g")), bad, good, least_docs, false_terms, max_terms)
+    found = rows.sparkSession.sparkContext.broadcast(ToxicityModel(fitted, exceptions))
+
+    @F.pandas_udf("array<double>")
+    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = found.value.automaton()
         for texts in batches:
-            yield _raw(texts, automaton)["raw"]
-
-    steps = rows.select("label", F.round(sums("text"), 2).alias("raw")).groupBy("raw", "label").count().toPandas()
-    slope, offset = _curve(*(steps[c].to_numpy(float) for c in ("raw", "label", "count")))
+            yield _raw(texts, automaton, FLOORS)["raw"]
+
+    tried = rows.where("aside").select("label", F.posexplode(raw("text")).alias("floor", "raw"))
+    steps = tried.withColumn("raw", F.round("raw", 2)).groupBy("floor", "raw", "label").count().toPandas()
+    best = (math.inf, FLOORS[0], 1.0, 0.0)
+    for k in range(len(FLOORS) - 1, -1, -1):
+        x, y, n = (steps[steps["floor"] == k][c].to_numpy(float) for c in ("raw", "label", "count"))
+        slope, offset = _curve(x, y, n)
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+        loss = -float((n * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
+        best = min(best, (loss, FLOORS[k], slope, offset), key=lambda b: b[0])
+    _, floor, slope, offset = best
+    bad, good = bad + size[(1, True)], good + size[(0, True)]
+    weights = seeds | {t: w for t, w in _weigh(count, bad, good, least_docs, false_terms, max_terms).items() if w >= floor}
     return ToxicityModel(weights, exceptions, slope, offset)
