@@ -14,6 +14,7 @@ from quillstone.catalog import Attribute, EntitySchema
 #: Columns of the store itself, such as times; attributes bound to them are read-only and never written.
 SYSTEM_PREFIX = "sys_"
 _LEAF = "struct<array_indices:string,value_text:string,value_numeric:double>"
+_ROW = "struct<attr_id:smallint,array_indices:string,value_text:string,value_numeric:double>"
 
 
 def _stored(attribute: Attribute, value: Column) -> tuple[Column, Column]:
@@ -59,14 +60,23 @@ def to_eav(df: DataFrame, schema: EntitySchema) -> DataFrame:
     One pass without a shuffle. Nulls, empty arrays and columns that are no attributes leave no row; dates are epoch
     milliseconds, truth values 1 and 0; indices of nested arrays are joined by commas.
     """
-    parts = []
+    plain, parts = [], []
     for found in sorted(schema.attributes.values(), key=lambda a: a.id):
         head, *rest = found.name.split(".")
-        if head in df.columns:
-            rows = _leaf_rows(found, df.schema[head].dataType, F.col(f"`{head}`"), rest, [])
-            tagged = F.transform(rows, _tagger(found.id))
-            parts.append(tagged)
-    rows = F.concat(*parts) if parts else F.array().cast("array<struct<attr_id:smallint,array_indices:string,value_text:string,value_numeric:double>>")
+        if head not in df.columns:
+            continue
+        kind, value, path = df.schema[head].dataType, F.col(f"`{head}`"), list(rest)
+        while path and isinstance(kind, T.StructType) and path[0] in kind.names:
+            kind, value = kind[path[0]].dataType, value.getField(path[0])
+            path.pop(0)
+        if isinstance(kind, T.ArrayType):
+            parts.append(F.transform(_leaf_rows(found, kind, value, path, []), _tagger(found.id)))
+        elif not path:
+            text, number = _stored(found, value)
+            row = F.struct(F.lit(found.id).cast("smallint"), F.lit(""), text, number)
+            plain.append(row.cast(_ROW))
+    held = F.filter(F.array(*plain).cast(f"array<{_ROW}>"), lambda r: r["value_text"].isNotNull() | r["value_numeric"].isNotNull())
+    rows = F.concat(held, *parts) if parts else held
     return df.select(F.lit(schema.id).cast("smallint").alias("schema_id"), "row_id", F.inline(rows))
 
 
