@@ -26,8 +26,6 @@ _BLANK = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 #: A rank above all merges.
 _NEVER = 1 << 40
-#: Words that a worker remembers.
-REMEMBERED = 300_000
 #: Texts that are encoded together.
 _TOGETHER = 256
 
@@ -51,6 +49,9 @@ class WordBpe:
     `config` is the text of a tokenizer file. Other normalisers, splits or models than these are refused.
     """
 
+    #: Pieces, and words, that a worker remembers at most after a batch: some 250 bytes each.
+    remembered = 400_000
+
     def __init__(self, config: str):
         given = json.loads(config)
         model, split = given["model"], given["pre_tokenizer"]["pretokenizers"]
@@ -144,8 +145,17 @@ class WordBpe:
                 ranks[k] = rank_of.get(made * size + ids[k + 1], _NEVER)
         return ids
 
+    def spelling(self, word: str) -> str:
+        """A word in byte-level letters."""
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Tokens of words in byte-level letters."""
+        """Tokens of normalised words."""
+        if not words:
+            return []
+        words = list(map(self.spelling, words))
         guess = [self._greedy(w) for w in words]
         sizes = np.array([len(g) if g else 0 for g in guess])
         flat = np.fromiter((t for g in guess for t in g or ()), np.int64, sizes.sum())
@@ -168,7 +178,7 @@ class WordBpe:
         """Tokens of parts of texts between white space, as little-endian unsigned 32-bit integers."""
         parts: list[list[str | int]] = []
         fresh: set[str] = set()
-        known, letters = self.known, self.letters
+        known = self.known
         for piece in pieces:
             own: list[str | int] = []
             runs = self.marks.split(piece) if self.marks and self.marks.search(piece) else (piece,)
@@ -188,8 +198,6 @@ class WordBpe:
                     else:
                         words = self.words.findall(run)
                     for word in words:
-                        if not (word.isascii() and word.isprintable()):
-                            word = word.encode("utf-8", "replace").decode("latin-1").translate(letters)
                         own.append(word)
                         if word not in known:
                             fresh.add(word)
@@ -198,18 +206,21 @@ class WordBpe:
         for word, ids in zip(names, self.encode_words(names)):
             known[word] = np.array(ids, "<u4").tobytes()
         out = [b"".join(known[x] if isinstance(x, str) else x.to_bytes(4, "little") for x in own) for own in parts]
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         return out
 
 
-def encode_texts(texts: list[str | None], encode: Callable[[list[str]], list[bytes]], memory: dict[str, bytes]) -> list[bytes]:
-    """Tokens of texts as bytes. `encode` sees each new part of a text once; `memory` is trimmed to what is in use."""
+def encode_texts(
+    texts: list[str | None], encode: Callable[[list[str]], list[bytes]], memory: dict[str, bytes], most: int = WordBpe.remembered
+) -> list[bytes]:
+    """Tokens of texts as bytes. `encode` sees each new part of a text once; above `most` parts `memory` is trimmed to
+    those in use."""
     split = [pieces_of(t) for t in texts]
     fresh = list({p for own in split for p in own if p not in memory})
     memory.update(zip(fresh, encode(fresh)))
     out = [b"".join(map(memory.__getitem__, own)) for own in split]
-    if len(memory) > REMEMBERED:
+    if len(memory) > most:
         kept = {p: memory[p] for own in split for p in own}
         memory.clear()
         memory.update(kept)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import _config, _loaded, encode_texts
+from quillstone.llm.bpe import WordBpe, _config, _loaded, encode_texts
 from quillstone.llm.common import save, shared_folder
 
 # Fixed values of the seekable zstandard format: magic numbers of skippable frames and of the table's footer.
@@ -96,19 +96,20 @@ class TokenReader:
         self.file.close()
 
 
-def _library(config: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class LibraryBpe(WordBpe):
+    """The same cutting into words, each encoded once by the BPE model of the tokenizers library."""
 
-    tokenizer = Tokenizer.from_str(config)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    remembered = 600_000  # the library takes longer for a word than it costs to remember more of them
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    def __init__(self, config: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    return encode, tokenizer.get_vocab_size(with_added_tokens=True)
+        super().__init__(config)
+        self.model = Tokenizer.from_str(config).model
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        return [[token.id for token in self.model.tokenize(word)] for word in map(self.spelling, words)]
 
 
 def write_token_files(
@@ -117,8 +118,7 @@ def write_token_files(
     """Encode whole texts with the tokenizers library and write them in ascending order of id.
 
     Rows are dealt out by ranges of the id, and each task writes one file to `folder` (by default in the shared
-    folder). Parts of texts between white space are encoded once and remembered, since no token of the supported
-    tokenizers (white space dropped) reaches over white space. `end_id` ends each document. The result is the
+    folder). Words are encoded once and remembered, since no token of the supported tokenizers reaches over one. `end_id` ends each document. The result is the
     manifest, a saved table with a row a file: part, path, docs, tokens, start (ids in all files before). A task that
     runs again writes a file of another name, and only the one that counts is in the manifest. Null ids come first,
     ties are ordered by text; null texts count as empty; an empty table gives an empty manifest.
@@ -129,7 +129,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        (encode, size), memory = _loaded("library", config.value, _library)
+        bpe, memory = _loaded("library", config.value, LibraryBpe)
         end = np.array([end_id], "<u4").tobytes()
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
@@ -137,8 +137,8 @@ def write_token_files(
             for k in range(0, len(ids), 256):
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-                    writer = TokenWriter(name, width=2 if max(size - 1, end_id) < 1 << 16 else 4)
-                found = encode_texts(texts.slice(k, 256).to_pylist(), encode, memory)
+                    writer = TokenWriter(name, width=2 if max(*bpe.spelt, end_id) < 1 << 16 else 4)
+                found = encode_texts(texts.slice(k, 256).to_pylist(), bpe.encode_pieces, memory, bpe.remembered)
                 for doc_id, own in zip(ids.slice(k, 256).to_pylist(), found):
                     writer.add(doc_id, np.frombuffer(own + end, "<u4"))
         if writer is not None:

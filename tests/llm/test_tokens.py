@@ -118,3 +118,10 @@ def test_token_file_edges(spark):
     got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in read_token_files(manifest).orderBy("start").collect()]
     assert [g[0] for g in got] == [None, -1, 3, 3, 3, 9] and [g[1] for g in got] == np.cumsum([0, *(g[2] for g in got[:-1])]).tolist()
     assert read_token_files(write_token_files(df.limit(0), PATH)).count() == 0
+
+
+def test_a_batch_without_new_words():
+    memory = {}
+    once = encode_texts(["Well known words"], OWN.encode_pieces, memory)
+    memory.clear()
+    assert encode_texts(["Well known words"], OWN.encode_pieces, memory) == once and OWN.encode_words([]) == []
