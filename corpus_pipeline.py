@@ -14,7 +14,7 @@ from quillstone.llm.bpe import tokenise
 from quillstone.llm.common import few, save, table
 from quillstone.llm.exact_dedup import keep_first
 from quillstone.llm.mixing import mix_sources
-from quillstone.llm.near_dedup import near_duplicates
+from quillstone.llm.similar import similar_documents
 from quillstone.llm.toxicity import learn_toxicity, toxicity_scores
 
 #: A learned model and a tokenizer have no SQL equivalent.
@@ -34,8 +34,8 @@ def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of texts linked by a Jaccard similarity of 0.8 of five-word shingles the smallest id stays."""
+    groups = similar_documents(docs.select("doc_id", "text"), least=0.8, shingle=5)
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = save(groups.groupBy("doc_id").agg(stays.alias("stays")).where(~F.col("stays")).select("doc_id"), "near")
     return docs.join(few(gone), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
