@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 #: Characters of a batch that are scored in one step, so that a very long text needs bounded memory.
 _STEP = 1 << 19
-_LETTER = np.array([chr(k).isalpha() for k in range(0x10000)])
+_LETTER = np.array([chr(k).isalpha() for k in range(0x110000)])
 
 
 def _points(text: str | None) -> np.ndarray:
     """Code points of the lower-cased text, all that are no letters as blanks."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").copy()
-    points[~_LETTER[np.minimum(points, 0xFFFF)] & (points < 0x10000)] = 32
+    points[~_LETTER[points]] = 32
     return points
 
 

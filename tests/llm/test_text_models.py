@@ -51,3 +51,13 @@ def test_language_edges(spark):
     assert got[5][0] in ("en", "fr") and predict_language(df.limit(0), model).count() == 0
     none = learn_languages(spark.createDataFrame([], "text string, lang string"))
     assert predict_language(df, none).first()["lang_pred"] == "und"
+
+
+def test_language_of_symbols_beyond_the_first_plane(spark):
+    """Emoji, musical signs and digits there are no letters; letters there are, beside them too."""
+    rows = [("the cat and the dog", "en"), ("le chat et le chien", "fr")]
+    model = learn_languages(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["\U0001f600 \U0001f600", "\U0001d7ce\U0001d7cf", "\U0001d11e", "\U0010ffff", "\U0001d4b6\U0001d4b7", "\U0001f600the\U0001f600dog\U0001f600", "the dog"]
+    got = predict_language(spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string"), model)
+    found = {r["k"]: (r["lang_pred"], r["lang_score"]) for r in got.collect()}
+    assert all(found[k] == ("und", 0.0) for k in range(4)) and found[4][0] in ("en", "fr") and found[5][0] == "en"
