@@ -1,16 +1,16 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Distinct fingerprints are the leaves of binary tries. Two fingerprints within the error budget agree in at least
-`exact` of ``budget + exact`` disjoint blocks of bits, so for each choice of blocks those bits lead the path and must
-match, and the two meet at the same inner node. Spark deals these nodes out; inside a task pairs of nodes are walked
-down together, one bit at a time, adding up the bits in which their paths differ, and a pair is pruned as soon as
-the sum exceeds the budget.
+Distinct fingerprints are the leaves of binary tries. Pairs of nodes of a trie are walked down together, one bit at a
+time, adding up the bits in which their paths differ, and a pair is pruned as soon as the sum exceeds the budget for its
+depth. Two fingerprints within a budget differ in at most half of it in one of their halves; so there are two tries, each
+with another half first and half of the budget in it. Spark deals out pairs of shallow nodes, with the bits in which they
+differ already; the walk goes on from there to single leaves inside a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import save
+from quillstone.llm.common import few, save
 from quillstone.llm.components import connected_components
 
 #: Hashes per step of the bit count, so that a very long text needs bounded memory.
@@ -29,23 +29,34 @@ _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_PLACE = np.arange(8, dtype=np.uint16) * 256
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; 0 if it has no word or is null."""
-    words = text.encode().lower().split() if text else []
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a text, A-Z lower-cased, repeats included, some at a time; of all words if there are fewer."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return
     data = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - size + 1].tolist()
     ends = ends[size - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for k in range(0, len(starts), _STEP):
-        spans = zip(starts[k : k + _STEP], ends[k : k + _STEP])
-        hashes = np.array([digest(data[a:b], seed) for a, b in spans], dtype="<u8")
-        places = hashes.view(np.uint8).reshape(-1, 8) + _BYTE_PLACE
-        ones += (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<u8")[0])
+        yield np.array([digest(data[a:b], seed) for a, b in zip(starts[k : k + _STEP], ends[k : k + _STEP])], dtype="<u8")
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some 64-bit hashes have each bit, the lowest bit first."""
+    places = hashes.view(np.uint8).reshape(-1, 8) + _BYTE_PLACE
+    return (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the word shingles of a text, A-Z lower-cased; 0 if it has no word or is null."""
+    ones, count = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seed):
+        ones += bit_counts(hashes)
+        count += len(hashes)
+    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 
 
 def simhash(text: Column, shingle: int = 4, seed: int = 42) -> Column:
@@ -58,166 +69,235 @@ def simhash(text: Column, shingle: int = 4, seed: int = 42) -> Column:
     return prints(text)
 
 
-def trie_links(values: np.ndarray, groups: list[tuple[int, int, int]], skip: int, budget: int, chunk: int = 1 << 18):
-    """Index pairs of `values` (uint64) within `budget` bits, as arrays (i, j), chunk by chunk.
+@dataclass(frozen=True)
+class Tries:
+    """Tries over fingerprints of one or more 64-bit words, taken as a ring of bits.
 
-    Each group (lo, mid, hi) is a pair of nodes: if mid == hi the sorted distinct leaves lo..hi with themselves, else
-    leaves lo..mid with mid..hi, each sorted. All leaves of a group share their first `skip` bits.
+    The path of a trie is the 64 bits from one of `offsets` on. `allowed[d]` bits may differ in the first d of a path,
+    and `budget` bits in the whole fingerprints.
     """
-    at = np.array(groups, np.int64).reshape(-1, 3)
-    own = at[:, 1] == at[:, 2]
-    first = [at[:, 0], at[:, 1], np.where(own, at[:, 0], at[:, 1]), at[:, 2], np.zeros(len(at), np.int64)]
-    todo = [(skip, first)]
+
+    offsets: tuple[int, ...]
+    allowed: tuple[int, ...]
+    budget: int
+
+    @staticmethod
+    def halves(budget: int) -> Tries:
+        """Two tries over one word, which together meet every pair within `budget` bits."""
+        return Tries((0, 32), (budget // 2,) * 33 + (budget,) * 32, budget)
+
+    def path(self, words: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """Paths of rows of `words` (uint64), each in the trie of its kind."""
+        at = np.array(self.offsets)[kinds]
+        rows, n, by = np.arange(len(words)), words.shape[1], (at % 64).astype(np.uint64)
+        first, second = words[rows, at // 64], words[rows, (at // 64 + 1) % n]
+        return np.where(by == 0, first, (first << by) | (second >> ((np.uint64(64) - by) & np.uint64(63))))
+
+    def prefix(self, words: list[Column], bits: int) -> list[Column]:
+        """For each trie, the first `bits` of the path, as a long."""
+        found = []
+        for offset in self.offsets:
+            first, second, by = words[offset // 64], words[(offset // 64 + 1) % len(words)], offset % 64
+            path = F.shiftleft(first, by).bitwiseOR(F.shiftrightunsigned(second, 64 - by)) if by else first
+            found.append(F.shiftrightunsigned(path, 64 - bits) if bits else F.lit(0).cast("long"))
+        return found
+
+
+@dataclass
+class Walked:
+    """What a walk has done: node pairs met and pruned by the budget; of those met, left out as one component; leaf pairs compared."""
+
+    met: int = 0
+    pruned: int = 0
+    joined: int = 0
+    compared: int = 0
+
+
+class _Forest:
+    """Labels of leaves. Links between different labels join them; only those of a spanning forest are kept."""
+
+    def __init__(self, n: int):
+        self.labels = np.arange(n, dtype=np.int32)
+        self.runs = self.labels  # equal for leaves in a row that have one label
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Join the leaves i with the leaves j; the links that did so."""
+        kept = []
+        while True:
+            a, b = self.labels[i], self.labels[j]
+            new = a != b
+            if not new.any():
+                break
+            i, j, a, b = i[new], j[new], a[new], b[new]
+            high, first = np.unique(np.maximum(a, b), return_index=True)
+            kept.append((i[first], j[first]))
+            up = np.arange(len(self.labels), dtype=np.int32)
+            up[high] = np.minimum(a, b)[first]
+            while (up[up] != up).any():
+                up = up[up]
+            self.labels = up[self.labels]
+        if kept:
+            self.runs = np.cumsum(np.diff(self.labels, prepend=self.labels[:1]) != 0, dtype=np.int32)
+        return tuple(np.concatenate(x) for x in zip(*kept)) if kept else (i[:0], j[:0])
+
+    def one(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Whether all leaves of both nodes have the same label."""
+        uniform = (self.runs[a0] == self.runs[a1 - 1]) & (self.runs[b0] == self.runs[b1 - 1])
+        return uniform & (self.labels[a0] == self.labels[b0])
+
+
+def trie_links(
+    path: np.ndarray, words: np.ndarray, groups: np.ndarray, skip: int, tries: Tries, chunk: int = 1 << 16, walked: Walked | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (i, j) between rows of `words` within the budget, thinned to a spanning forest.
+
+    `path` holds the paths, sorted inside each node. A row of `groups` is a pair of nodes at depth `skip`, (a0, a1, b0, b1,
+    bits in which they differ); a node with itself has a0 == b0. Node pairs of one component are not walked.
+    """
+    walked = walked if walked is not None else Walked()
+    allowed, forest = tries.allowed, _Forest(len(path))
+    todo = [(skip, [np.ascontiguousarray(x) for x in np.asarray(groups, np.int32).reshape(-1, 5).T])]
     zeros: dict[int, np.ndarray] = {}
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    count = 0
     while todo:
         depth, nodes = todo.pop()
         if len(nodes[0]) > chunk:
             todo += [(depth, [x[k : k + chunk] for x in nodes]) for k in range(0, len(nodes[0]), chunk)]
             continue
-        a0, a1, b0, b1, diff = nodes
-        small = ((a1 - a0) * (b1 - b0) <= 64) | (depth == 64)
-        if small.any():
-            i0, n, j0, m = a0[small], (a1 - a0)[small], b0[small], (b1 - b0)[small]
-            size = n * m
-            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            wide = np.repeat(m, size)
-            i, j = np.repeat(i0, size) + within // wide, np.repeat(j0, size) + within % wide
-            near = (i != j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
-            near &= (i < j) | (np.repeat(i0 != j0, size))
-            if near.any():
-                yield i[near], j[near]
-            a0, a1, b0, b1, diff = (x[~small] for x in (a0, a1, b0, b1, diff))
+        done = forest.one(*nodes[:4])
+        walked.met += len(done)
+        walked.joined += int(done.sum())
+        a0, a1, b0, b1, diff = (x[~done] for x in nodes)
+        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if leaf.any():
+            i, j = a0[leaf], b0[leaf]
+            walked.compared += len(i)
+            near = (i != j) & (np.bitwise_count(words[i] ^ words[j]).sum(1) <= tries.budget)
+            found.append((i[near], j[near]))
+            count += int(near.sum())
+            if count >= max(1024, len(path) >> 4):
+                yield forest.add(*(np.concatenate(x) for x in zip(*found)))
+                found, count = [], 0
+            a0, a1, b0, b1, diff = (x[~leaf] for x in (a0, a1, b0, b1, diff))
         if not len(a0):
             continue
-        if depth not in zeros:
-            bit = (values >> np.uint64(63 - depth)) & np.uint64(1)
-            zeros[depth] = np.concatenate(([0], np.cumsum(bit == 0)))
-        z = zeros[depth]
-        am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
-        same = a0 == b0
-        children = [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None), (a0, am, bm, b1, diff + 1, None)]
-        children.append((am, a1, b0, bm, diff + 1, ~same))
+        if depth < 64:
+            if depth not in zeros:
+                bit = (path >> np.uint64(63 - depth)) & np.uint64(1)
+                zeros[depth] = np.concatenate(([0], np.cumsum(bit == 0))).astype(np.int32)
+            z = zeros[depth]
+            am, bm, step = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0], 1
+        else:  # the paths are used up: nodes of equal ones are halved
+            am, bm, step = (a0 + a1 + 1) // 2, (b0 + b1 + 1) // 2, 0
+        other = a0 != b0
+        children = [(a0, am, bm, b1, diff + step, None), (am, a1, b0, bm, diff + step, other)]
+        children += [(a0, am, b0, bm, diff, None), (am, a1, bm, b1, diff, None)]  # like ends last: they are walked first
         parts = []
         for *ends, d, only in children:
-            keep = (ends[0] < ends[1]) & (ends[2] < ends[3]) & (d <= budget)
+            keep = (ends[0] < ends[1]) & (ends[2] < ends[3])
             keep &= True if only is None else only
+            over = keep & (d > allowed[min(depth + 1, 64)])
+            walked.pruned += int(over.sum())
+            keep &= ~over
             parts.append([x[keep] for x in (*ends, d)])
         todo.append((depth + 1, [np.concatenate(x) for x in zip(*parts)]))
+    if count:
+        yield forest.add(*(np.concatenate(x) for x in zip(*found)))
 
 
-class _Forest:
-    """Union-find over the leaves of one batch: of the links found, only those of a spanning forest leave the task."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def joins(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.up[a] = b
-        return a != b
-
-
-def _walk(budget: int, skips: list[int]):
-    """mapInArrow function: sorted rows (kind, node, part, side, path, fp) to links (src, dst)."""
+def _walk(tries: Tries, skip: int):
+    """mapInArrow function: rows (lo, hi, side, key, words...) with the pairs of cells (lo, hi) together, to links (src, dst)."""
 
     def links(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        path = rows["path"].view(np.uint64)
-        head = [np.diff(rows[k], prepend=rows[k][:1] - 1) != 0 for k in ("kind", "node", "part")]
-        starts = np.flatnonzero(head[0] | head[1] | head[2])
-        ends = np.append(starts[1:], len(path))
-        sides = np.concatenate(([0], np.cumsum(rows["side"])))
-        mids = ends - (sides[ends] - sides[starts])
-        src, dst, forest = [], [], _Forest(len(path))
-        for kind in np.unique(rows["kind"][starts]).tolist():
-            own = (rows["kind"][starts] == kind) & (ends - starts > 1) & (mids > starts)
-            groups = np.stack([starts[own], mids[own], ends[own]], 1)
-            for i, j in trie_links(path, groups, skips[kind], budget):
-                kept = [(a, b) for a, b in zip(i.tolist(), j.tolist()) if forest.joins(a, b)]
-                if kept:
-                    pairs = np.array(kept)
-                    src.append(rows["fp"][pairs[:, 0]])
-                    dst.append(rows["fp"][pairs[:, 1]])
-        none = np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *src])), pa.array(np.concatenate([none, *dst]))], ["src", "dst"]
-        )
+        names = sorted(k for k in rows if k.startswith("w"))
+        words = np.stack([rows[k].view(np.uint64) for k in names], 1)
+        path = tries.path(words, rows["lo"] >> 44)
+        order = np.lexsort((path, rows["side"], rows["hi"], rows["lo"]))
+        lo, hi, side, key = (rows[k][order] for k in ("lo", "hi", "side", "key"))
+        path, words = path[order], words[order]
+        starts = np.flatnonzero((np.diff(lo, prepend=lo[:1] - 1) != 0) | (np.diff(hi, prepend=hi[:1] - 1) != 0))
+        ends = np.append(starts[1:], len(lo))
+        own = lo[starts] == hi[starts]
+        sides = np.concatenate(([0], np.cumsum(side)))
+        mids = np.where(own, ends, ends - (sides[ends] - sides[starts]))
+        cell = (1 << 44) - 1
+        apart = np.bitwise_count(((lo[starts] & cell) ^ (hi[starts] & cell)) >> 20).astype(np.int64)
+        groups = np.stack([starts, mids, np.where(own, starts, mids), ends, apart], 1)
+        groups = groups[(groups[:, 0] < groups[:, 1]) & (groups[:, 2] < groups[:, 3])]
+        found = [(key[i], key[j]) for i, j in trie_links(path, words, groups, skip, tries)]
+        columns = [np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found) if found else ((), ()))]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["src", "dst"])
+
+    return whole_groups(links, ("lo", "hi"))
+
+
+def whole_groups(of, by: tuple[str, ...]):
+    """A mapInArrow function that calls `of` with rows (arrays by column) of whole groups, which stand together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[dict[str, np.ndarray]] = []
         for batch in batches:
-            kept.append({k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names})
-            rows = {k: np.concatenate([x[k] for x in kept]) for k in kept[0]} if len(kept) > 1 else kept[0]
-            moved = [np.flatnonzero(np.diff(rows[k])) for k in ("kind", "node", "part")]
-            last = max((int(x[-1]) + 1 for x in moved if len(x)), default=0)
-            if last:  # all before the last node that has begun is whole
-                yield links({k: v[:last] for k, v in rows.items()})
-            kept = [{k: v[last:] for k, v in rows.items()}]
-        if kept and len(kept[0]["fp"]):
-            yield links(kept[0])
+            rows = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
+            before = {k: kept[-1][k][-1:] if kept else rows[k][:1] for k in by}
+            moved = np.zeros(batch.num_rows, bool)
+            for k in by:
+                moved |= np.diff(rows[k], prepend=before[k]) != 0
+            last = int(np.flatnonzero(moved)[-1]) if moved.any() else -1
+            if last >= 0:  # all before the last group that has begun is whole
+                kept.append({k: v[:last] for k, v in rows.items()})
+                whole = {k: np.concatenate([x[k] for x in kept]) for k in rows}
+                if len(whole[by[0]]):
+                    yield of(whole)
+                kept = []
+            if batch.num_rows:
+                kept.append({k: v[max(last, 0) :] for k, v in rows.items()})
+        if kept:
+            yield of({k: np.concatenate([x[k] for x in kept]) for k in kept[0]})
 
     return run
 
 
-def _paths(budget: int, exact: int) -> tuple[list[Column], list[int]]:
-    """For each choice of `exact` blocks: the fingerprint with those bits first, and how many bits that is."""
-    blocks = budget + exact
-    cuts = [64 * k // blocks for k in range(blocks + 1)]
-    paths, skips = [], []
-    for chosen in combinations(range(blocks), exact):
-        parts, place = [], 64
-        for k in [*chosen, *(x for x in range(blocks) if x not in chosen)]:
-            width = cuts[k + 1] - cuts[k]
-            place -= width
-            mask = (1 << width) - 1
-            part = F.shiftrightunsigned("fp", 64 - cuts[k + 1]).bitwiseAND(F.lit(mask).cast("long"))
-            parts.append(F.shiftleft(part, place))
-        paths.append(reduce(lambda a, b: a.bitwiseOR(b), parts))
-        skips.append(sum(cuts[k + 1] - cuts[k] for k in chosen))
-    return paths, skips
-
-
-def hamming_links(prints: DataFrame, budget: int = 4, leaves: int = 64, hot: int = 20_000) -> DataFrame:
-    """Distinct fingerprints `prints` (fp long) to links (src, dst) that connect all within `budget` bits.
-
-    Links in one task are thinned to a spanning forest: the components are those of all links. `exact` grows with
-    the count of fingerprints until a node has about `leaves` of them. A node with more than `hot` is split into
-    parts by a salt, and each pair of parts is walked by itself. Nulls are no fingerprints and must be left out.
+def hamming_links(prints: DataFrame, tries: Tries, words: tuple[str, ...] = ("fp",), node: int = 1 << 15, hot: int = 1 << 15) -> DataFrame:
+    """Distinct fingerprints `prints` (key long, words long) to links (src, dst) of keys that the tries lead to.
+
+    Links in one task are thinned to a spanning forest: the components are those of all links. The count of fingerprints
+    gives the depth from which tasks walk, so that a node there has about `node` leaves, and each leaf goes to every node
+    pair that the budget allows at that depth. A node with more than `hot` leaves is split into parts by a salt, and
+    each pair of parts is walked by itself. Nulls are no fingerprints and must be left out.
     """
     count = prints.count()
-    exact = next((r for r in range(1, 5) if count / 2 ** (64 * r / (budget + r)) <= leaves), 4)
-    paths, skips = _paths(budget, exact)
-    rows = prints.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), p.alias("path")) for k, p in enumerate(paths)))).alias("x")
-    ).select("fp", "x.*")
-    skip = F.element_at(F.array(*map(F.lit, skips)), F.col("kind") + 1)
-    rows = rows.withColumn("node", _shift_right(F.col("path"), skip))
-    crowded = save(rows.groupBy("kind", "node").count().where(F.col("count") > hot), "crowded")
+    skip = min(max(3, int(np.ceil(np.log2(max(count, 1) / node)))), 24)
+    masks = [sum(1 << b for b in bits) for e in range(tries.allowed[skip] + 1) for bits in combinations(range(skip), e)]
+    prefixes = tries.prefix([F.col(w) for w in words], skip)
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("kind"), p.alias("prefix")) for k, p in enumerate(prefixes))))
+    leaves = prints.select(F.col("key"), *(F.col(w).alias(f"w{k}") for k, w in enumerate(words)), kinds.alias("x"))
+    leaves = leaves.select("*", "x.*").drop("x")
+    crowded = save(leaves.groupBy("kind", "prefix").count().where(F.col("count") > hot), "crowded")
+    met = leaves.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for m in masks))))
+    met = met.withColumn("neighbour", F.col("prefix").bitwiseXOR(F.col("mask"))).drop("mask")
     if crowded.isEmpty():
-        dealt = rows.withColumns({"part": F.lit(0), "side": F.lit(0)})
+        met = met.withColumns({"part": F.lit(0).cast("long"), "other": F.lit(0).cast("long")})
     else:
-        parts = F.coalesce(F.ceil(F.col("count") / hot), F.lit(1)).cast("int")
-        salt = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = (
-            rows.join(crowded, ["kind", "node"], "left")
-            .withColumn("parts", parts)
-            .withColumn("salt", salt)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .withColumn("part", F.least("salt", "other") * F.col("parts") + F.greatest("salt", "other"))
-            .withColumn("side", (F.col("salt") > F.col("other")).cast("int"))
-        )
-    names = ["kind", "node", "part", "side", "path"]
-    dealt = dealt.select(*names, "fp").repartition("kind", "node", "part").sortWithinPartitions(*names)
-    return dealt.mapInArrow(_walk(budget, skips), "src long, dst long")
-
-
-def _shift_right(value: Column, by: Column) -> Column:
-    """Unsigned shift by a column: 64 bits less the leading block."""
-    return F.call_function("shiftrightunsigned", value, (F.lit(64) - by).cast("int"))
+        parts = crowded.select("kind", "prefix", F.ceil(F.col("count") / hot).alias("parts"))
+        theirs = parts.select("kind", F.col("prefix").alias("neighbour"), F.col("parts").alias("beside"))
+        one = F.lit(1).cast("long")
+        met = met.join(few(parts), ["kind", "prefix"], "left").join(few(theirs), ["kind", "neighbour"], "left")
+        met = met.withColumn("part", F.pmod(F.xxhash64("key"), F.coalesce("parts", one)))
+        met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("beside", one) - 1)))
+    cell = F.shiftleft("prefix", 20).bitwiseOR(F.col("part"))
+    opposite = F.shiftleft("neighbour", 20).bitwiseOR(F.col("other"))
+    met = met.withColumns({"cell": cell, "opposite": opposite})
+    kind = F.shiftleft("kind", 44)
+    dealt = met.select(
+        kind.bitwiseOR(F.least("cell", "opposite")).alias("lo"),
+        kind.bitwiseOR(F.greatest("cell", "opposite")).alias("hi"),
+        (F.col("cell") > F.col("opposite")).cast("int").alias("side"),
+        "key",
+        *(f"w{k}" for k in range(len(words))),
+    )
+    dealt = dealt.repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+    return dealt.mapInArrow(_walk(tries, skip), "src long, dst long")
 
 
 def near_duplicates(
@@ -232,7 +312,7 @@ def near_duplicates(
     """
     prints = save(docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle, seed).alias("fp")), "fingerprints")
     distinct = save(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    labels = connected_components(hamming_links(distinct.select("fp"), budget))
+    labels = connected_components(hamming_links(distinct.select("fp", F.col("fp").alias("key")), Tries.halves(budget)))
     if labels is None:
         owner = distinct.select("fp", F.col("first").alias("component_id"))
     else:

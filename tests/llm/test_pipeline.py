@@ -4,8 +4,8 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.near_dedup import fingerprint
 from quillstone.llm.queries import ORACLES, QUERIES
+from tests.llm.test_similar import components_by_pairs
 from tests.oracle import assert_same, tables
 
 
@@ -25,11 +25,7 @@ def test_stages_against_brute_force(spark, sf_dir):
         last[texts[doc_id]] = doc_id
     distinct = stages["exact_dedup"](spark, clean, sf_dir)
     assert {r["doc_id"] for r in distinct.collect()} == set(last.values())
-    prints, label = {i: fingerprint(texts[i]) for i in last.values()}, {}
-    for i in sorted(prints):
-        near = {label[j] for j in label if (prints[i] ^ prints[j]).bit_count() <= 4}
-        label[i] = min([i, *near])
-        label |= {j: label[i] for j in label if label[j] in near}
+    label = components_by_pairs({i: texts[i] for i in last.values()})  # pairs at 0.8 or more of five-word shingles
     single = stages["near_dedup"](spark, distinct, sf_dir)
     kept = {r["doc_id"] for r in single.collect()}
     assert kept == set(label.values()) and single.columns == docs.columns

@@ -12,7 +12,7 @@ def _set(text):
     return {tuple(words[k : k + 5]) for k in range(max(len(words) - 4, 1 if words else 0))}
 
 
-def _components(texts):
+def components_by_pairs(texts):
     """By brute force over all pairs."""
     sets, label = {i: _set(x) for i, x in texts.items()}, {}
     for i in sorted(sets):
@@ -43,7 +43,7 @@ def test_near_dedup_stage_is_jaccard_of_five_words(spark):
     texts = _corpus()
     docs = spark.createDataFrame([(k, x, "en", "s", len(x)) for k, x in texts.items()], KIND)
     kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").collect()}
-    wanted = _components(texts)
+    wanted = components_by_pairs(texts)
     assert 40 < len(set(wanted.values())) < len(texts) and kept == set(wanted.values())
     assert {r["doc_id"]: r["component_id"] for r in similar_documents(docs).collect()} == wanted
 
