@@ -25,8 +25,8 @@ from quillstone.llm.components import connected_components
 
 #: Hashes per step of the bit count, so that a very long text needs bounded memory.
 _STEP = 1 << 18
-_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_BYTE_PLACE = np.arange(8, dtype=np.uint16) * 256
+#: The lowest bit of each byte, and the shifts that bring the others there.
+_LOWEST, _SHIFTS = np.uint64(0x0101010101010101), np.arange(8, dtype=np.uint64)[:, None, None]
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -45,16 +45,24 @@ def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[n
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of some 64-bit hashes have each bit, the lowest bit first."""
-    places = hashes.view(np.uint8).reshape(-1, 8) + _BYTE_PLACE
-    return (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BYTE_BITS).ravel()
+    """How many rows of `hashes` (words of 64 bits) have each bit, by word and with the lowest bit first.
+
+    Bits of one place in all bytes of a word are summed at once, for up to 255 rows, which a byte holds.
+    """
+    width = hashes.shape[1]
+    counts = np.zeros((width, 8, 8), np.int64)
+    for k in range(0, len(hashes), 16 * 255):
+        bits = (hashes[k : k + 16 * 255] >> _SHIFTS) & _LOWEST
+        sums = np.add.reduceat(bits, np.arange(0, bits.shape[1], 255), axis=1)
+        counts += sums.view(np.uint8).reshape(8, -1, width, 8).sum(1, dtype=np.int64).transpose(1, 2, 0)
+    return counts.reshape(width, 64)
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     """64-bit SimHash of the word shingles of a text, A-Z lower-cased; 0 if it has no word or is null."""
     ones, count = np.zeros(64, np.int64), 0
     for hashes in shingle_hashes(text, shingle, seed):
-        ones += bit_counts(hashes)
+        ones += bit_counts(hashes[:, None])[0]
         count += len(hashes)
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
 

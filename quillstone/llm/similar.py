@@ -42,14 +42,13 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
 
 def set_fingerprint(shingles: np.ndarray) -> list[int]:
     """SimHash of a set as (signed) words; where just half of the hashes have a bit, it is that of the least shingle."""
-    words = np.zeros(WORDS, np.uint64)
-    for k in range(WORDS if len(shingles) else 0):
-        hashes = shingles * _TIMES[k] + _PLUS[k]
-        hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes ^= hashes >> np.uint64(32)
-        first = np.unpackbits(hashes[:1].view(np.uint8), bitorder="little")
-        words[k] = np.packbits(bit_counts(hashes) * 2 + first > len(shingles), bitorder="little").view("<u8")[0]
-    return words.view(np.int64).tolist()
+    if not len(shingles):
+        return [0] * WORDS
+    hashes = shingles[:, None] * _TIMES + _PLUS
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    first = np.unpackbits(hashes[0].view(np.uint8), bitorder="little").reshape(WORDS, 64)
+    return np.packbits(bit_counts(hashes) * 2 + first > len(shingles), bitorder="little").view("<i8").tolist()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -8,10 +8,9 @@ few long segments to many short ones, and only candidates that no bound has rule
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,47 +36,81 @@ def segment_statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([parts.mean(2), parts.std(2)], 1) * np.sqrt(length)
 
 
-def _levels(dims: int, levels: tuple[int, ...]) -> list[int]:
-    return [s for s in levels if 2 * s < dims]
+@dataclass
+class Searched:
+    """What a search has done: pairs of query and candidate; bounds computed; inner products computed."""
+
+    pairs: int = 0
+    bounds: int = 0
+    products: int = 0
 
 
 def block_top_k(
-    queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, levels: tuple[int, ...], step: int = 2048
+    queries: np.ndarray,
+    own: np.ndarray,
+    vectors: np.ndarray,
+    ids: np.ndarray,
+    k: int,
+    levels: tuple[int, ...],
+    step: int = 2048,
+    searched: Searched | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best `k` candidates of each query among `vectors`, the query's `own` id left out: query row, id row, score.
 
-    Vectors are integers. Ties go to the smaller id.
+    Vectors are integers. Ties go to the smaller id. Each query begins with the candidates that the means of the finest
+    level make likely; the worst of the best `k` is its bar from then on. The others are taken some at a time: each level
+    sees only those that no coarser one has ruled out, and only what is left in the end is multiplied.
     """
+    searched = searched if searched is not None else Searched()
     order = np.argsort(ids, kind="stable")  # places follow the ids
     q, x = queries.astype(float), vectors[order].astype(float)
-    sorted_ids = ids[order]
-    dims = q.shape[1]
+    n, dims = x.shape
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims
-    if bound >= _EXACT or len(x) >= _PLACES:
+    if bound >= _EXACT or n >= _PLACES:
         return _plain_top_k(queries, own, vectors, ids, k)
-    cuts = _levels(dims, levels)
-    stats = [(segment_statistics(q, s), segment_statistics(x, s)) for s in cuts]
-    slack = 1e-9 * (bound + 1)
-    by_norm = np.argsort(-(x * x).sum(1), kind="stable")  # likely winners first, so that the bar rises early
-    best = np.full((len(q), k), -(1 << 62), np.int64)  # keys: score and place, the larger the better
-    for at in range(0, len(x), step):
-        places = by_norm[at : at + step]
-        bar = (best.min(1) >> 20).astype(float) if at else np.full(len(q), -np.inf)
-        alive = sorted_ids[places][None, :] != own[:, None]
-        for sq, sx in stats if at else ():
-            alive &= sq @ sx[places].T + slack >= bar[:, None]
-            if not alive.any():
-                break
-        rows, cols = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-        if not len(rows):
-            continue
-        scores = np.rint(q[rows] @ x[places[cols]].T).astype(np.int64)
-        keys = np.where(alive[np.ix_(rows, cols)], (scores << 20) + (_PLACES - 1 - places[cols]), -(1 << 62))
-        both = np.concatenate([best[rows], keys], 1)
-        best[rows] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
-    row, col = np.nonzero(best > -(1 << 62))
-    found = best[row, col]
-    return row, order[_PLACES - 1 - (found & (_PLACES - 1))], found >> 20
+    place = np.argsort(-(x * x).sum(1), kind="stable")  # likely winners first, so that the bar rises early
+    x, sorted_ids, last = x[place], ids[order][place], _PLACES - 1 - place
+    cuts = [s for s in levels if 2 * s <= dims]
+    stats = [(segment_statistics(q, s).astype(np.float32), segment_statistics(x, s).astype(np.float32)) for s in cuts]
+    slack = 1e-5 * (bound + 1)  # above what single precision loses
+    none = np.int64(-(1 << 62))
+    rows, places, scores = [], [], []
+    for r in range(len(q)):
+        best = np.full(k, none)  # keys: score and place, the larger the better
+
+        def multiply(some: np.ndarray, r: int = r) -> None:
+            nonlocal best
+            searched.products += len(some)
+            keys = (np.rint(x[some] @ q[r]).astype(np.int64) << 20) + last[some]
+            best = np.partition(np.concatenate([best, keys]), len(keys))[len(keys) :]
+
+        fresh = sorted_ids != own[r]
+        searched.pairs += int(fresh.sum())
+        if stats:
+            sq, sx = stats[-1]
+            likely = np.where(fresh, sx[:, : cuts[-1]] @ sq[r, : cuts[-1]], -np.inf)
+            searched.bounds += n
+            seeds = np.argpartition(-likely, min(4 * k, n - 1))[: 4 * k] if n else place
+            multiply(seeds[fresh[seeds]])
+            fresh[seeds] = False
+        for at in range(0, n, step):
+            bar, alive = float(best.min() >> 20) - slack, slice(at, min(at + step, n))
+            for sq, sx in stats:
+                some = sx[alive]  # all of the step as long as no bound has ruled one out
+                searched.bounds += len(some)
+                over = some @ sq[r] >= bar
+                if not over.all():
+                    alive = (np.arange(at, alive.stop) if isinstance(alive, slice) else alive)[over]
+            alive = np.arange(at, alive.stop) if isinstance(alive, slice) else alive
+            alive = alive[fresh[alive]]
+            if len(alive):
+                multiply(alive)
+        found = best[best > none]
+        rows.append(np.full(len(found), r))
+        places.append(order[_PLACES - 1 - (found & (_PLACES - 1))])
+        scores.append(found >> 20)
+    columns = (np.concatenate([np.empty(0, np.int64), *c]) for c in (rows, places, scores))
+    return tuple(columns)
 
 
 def _plain_top_k(queries, own, vectors, ids, k):
@@ -100,10 +133,9 @@ def exact_top_k(
     k: int = 20,
     id_col: str = "id",
     vector_col: str = "vector",
-    levels: tuple[int, ...] = (1, 2, 4, 8, 16),
-    query_block: int = 8192,
+    levels: tuple[int, ...] = (1, 4, 16, 32),
+    query_block: int = 4096,
     candidate_block: int = 16384,
-    narrow: int = 512,
 ) -> DataFrame:
     """The `k` candidates with the largest inner product for each query: query_id, rank (from 1), id, score.
 
@@ -111,13 +143,17 @@ def exact_top_k(
     go to the smaller id; vectors meet only vectors with as many components. Null ids, vectors or components take no
     part, and rows that repeat an id and a vector count once. Queries and candidates are dealt out to blocks by a
     hash, and each pair of blocks is one task's group of bounded size; it sends `k` rows a query at most to the
-    final ranking. Fewer candidates give fewer rows, an empty input none.
+    final ranking. Fewer candidates give fewer rows, an empty input none. Scores must fit a long: a vector whose
+    components have a sum of squares of 2**62 or more is an error. Other columns are not looked at.
     """
 
     def clean(rows: DataFrame) -> DataFrame:
         rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<bigint>").alias("v"))
         whole = F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull())
-        return rows.where(whole).dropDuplicates(["id", "v"])
+        squares = F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double"))
+        large = F.raise_error(F.concat(F.lit("vector too large for scores that fit a long: id "), F.col("id").cast("string")))
+        rows = rows.where(whole).withColumn("v", F.when(squares < float(1 << 62), F.col("v")).otherwise(large))
+        return rows.dropDuplicates(["id", "v"])
 
     asked, given = save(clean(queries), "queries"), save(clean(vectors), "vectors")
     wide = max(1, -(-asked.count() // query_block))
@@ -140,11 +176,8 @@ def exact_top_k(
         data = data.combine_chunks() if isinstance(data, pa.ChunkedArray) else data
         matrix = data.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         q, x, q_ids, x_ids = matrix[asks], matrix[~asks], ids[asks], ids[~asks]
-        out = []
-        for at in range(0, len(q) if len(x) else 0, narrow):
-            row, place, score = block_top_k(q[at : at + narrow], q_ids[at : at + narrow], x, x_ids, k, levels)
-            out.append((q_ids[at : at + narrow][row], x_ids[place], score))
-        columns = [np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64) for c in range(3)]
+        row, place, score = block_top_k(q, q_ids, x, x_ids, k, levels)
+        columns = (q_ids[row], x_ids[place], score)
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["query_id", "id", "score"])
 
     found = cells.groupBy("row", "col", "dims").applyInArrow(search, "query_id long, id long, score long")
@@ -153,7 +186,10 @@ def exact_top_k(
 
 
 def quantise(vector: Column, scale: float = 64.0) -> Column:
-    """floor(scale * x) of each component as a long; null if the vector or a component is null or not finite."""
+    """floor(scale * x) of each component as a long; null if the vector or a component is null or not finite.
+
+    Values beyond a long become the largest or least one, which `exact_top_k` refuses.
+    """
     wide = vector.cast("array<double>")
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(~bad, F.transform(wide, lambda x: F.floor(F.lit(scale) * x)))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.line_dedup import cut, dedup_lines, unit_digests, without
 from quillstone.llm.queries import op9_line_dedup
-from quillstone.llm.top_k import block_top_k, exact_top_k, quantise, segment_statistics
+from quillstone.llm.top_k import Searched, block_top_k, exact_top_k, quantise, segment_statistics
 
 
 def plain_top_k(queries, vectors, k):
@@ -37,6 +37,26 @@ def test_blocks(scale):
     assert {q: [(i, -s) for s, i in sorted(v)] for q, v in got.items()} == wanted
 
 
+def test_bounds_save_products():
+    """Vectors of few shapes: the statistics rule out nearly all pairs. Unlike ones in all directions: only the finest level does."""
+    rng = np.random.default_rng(11)
+    shapes = np.repeat(rng.integers(-60, 60, (50, 8)), 8, axis=1)
+    for x, most in ((shapes[rng.integers(0, 50, 3000)] + rng.integers(-4, 5, (3000, 64)), 0.1), (rng.integers(-30, 31, (3000, 64)), 0.9)):
+        searched, ids = Searched(), np.arange(3000)
+        row, place, score = block_top_k(x[::60], ids[::60], x, ids, 20, (1, 4, 16, 32), searched=searched)
+        scores = x[::60] @ x.T
+        scores[np.arange(50), ids[::60]] = -(10**9)
+        wanted = np.sort(scores, 1)[:, -20:]
+        assert all(sorted(score[row == r].tolist()) == wanted[r].tolist() for r in range(50))
+        assert searched.pairs == 50 * 2999 and searched.products < most * searched.pairs
+
+
+def test_finite_vectors_beyond_the_range_are_an_error(spark):
+    df = spark.createDataFrame([(20, [1e18, 1.0]), (1, [1.0, 2.0])], "id long, e array<double>").withColumn("vector", quantise(F.col("e")))
+    with pytest.raises(Exception, match="too large"):
+        exact_top_k(df, df.where("id = 20")).collect()
+
+
 @pytest.mark.parametrize("block", [8192, 7])
 def test_search(spark, block):
     rng = np.random.default_rng(3)
