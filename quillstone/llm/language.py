@@ -11,32 +11,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a batch that are scored in one step, so that a very long text needs bounded memory.
-_STEP = 1 << 19
+from quillstone.llm.common import fresh_name
+
+#: Gathered numbers (characters by languages) of one step, so that very long texts and many languages need bounded memory.
+_STEP = 1 << 21
+#: Texts that are scored together.
+_TOGETHER = 256
 _LETTER = np.array([chr(k).isalpha() for k in range(0x110000)])
 
 
 def _points(text: str | None) -> np.ndarray:
-    """Code points of the lower-cased text, all that are no letters as blanks."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4").copy()
+    """Code points of the lower-cased text between two blanks, all that are no letters as blanks."""
+    points = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4").copy()
     points[~_LETTER[points]] = 32
     return points
 
 
-def _grams(points: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Hashes of all n-grams, an array for each order; those that begin in two blanks are kept out as -1."""
-    found = []
-    padded = np.concatenate((np.array([32], "<u4"), points, np.array([32], "<u4"))).astype(np.uint64)
+def _slices(texts: list[np.ndarray], orders: tuple[int, ...], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Points of texts in slices of about `most`: points, the text of each, and whether an n-gram may begin there.
+
+    A text that goes on in the next slice is continued by as many points as the longest n-gram needs, in which none begins.
+    """
+    more, parts, size = max(orders) - 1, [], 0
+    for k, points in enumerate(texts):
+        for at in range(0, len(points), most):
+            part = points[at : at + most + more]
+            parts.append((k, part, min(most, len(part))))
+            size += len(part)
+            if size >= most:
+                yield _joined(parts)
+                parts, size = [], 0
+    if parts:
+        yield _joined(parts)
+
+
+def _joined(parts: list[tuple[int, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lengths = [len(p) for _, p, _ in parts]
+    owner = np.repeat(np.array([k for k, _, _ in parts]), lengths)
+    begins = np.concatenate([np.arange(len(p)) < n for _, p, n in parts])
+    return np.concatenate([p for _, p, _ in parts]), owner, begins
+
+
+def _grams(points: np.ndarray, owner: np.ndarray, begins: np.ndarray, orders: tuple[int, ...], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the texts and buckets of all n-grams inside one text: a sparse matrix by row and column.
+
+    Grams whose second point is a blank are left out, and of two points or less those that begin and end in one.
+    """
+    wide = points.astype(np.uint64)
     for n in orders:
-        if len(padded) < n:
+        last = len(points) - n + 1
+        if last <= 0:
             continue
-        key = np.full(len(padded) - n + 1, n, np.uint64)
+        key = np.full(last, n, np.uint64)
         for k in range(n):
-            key = key * np.uint64(0x100000001B3) ^ padded[k : len(padded) - n + 1 + k]
+            key = key * np.uint64(0x100000001B3) ^ wide[k : last + k]
         key = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-        blank = (padded[: len(key)] == 32) & (padded[n - 1 :] == 32) if n <= 2 else padded[1 : len(key) + 1] == 32
-        found.append(key[~blank].astype(np.int64))
-    return np.concatenate(found) if found else np.empty(0, np.int64)
+        good = begins[:last] & (owner[:last] == owner[n - 1 :])
+        good &= ~((points[:last] == 32) & (points[n - 1 :] == 32)) if n <= 2 else points[1 : last + 1] != 32
+        yield owner[:last][good], key[good].astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -49,21 +81,22 @@ class LanguageModel:
     orders: tuple[int, ...]
     bits: int
 
-    def score(self, text: str | None) -> tuple[str, float]:
-        points = _points(text)
-        if not self.langs or not (points != 32).any():
-            return "und", 0.0
-        total = self.prior.copy()
-        for k in range(0, len(points), _STEP):
-            buckets = _grams(points[k : k + _STEP], self.orders, self.bits)
-            if len(buckets) > len(self.log_prob):  # sparse counts: each bucket that occurs is read once
-                counts = np.bincount(buckets, minlength=len(self.log_prob))
-                seen = np.flatnonzero(counts)
-                total += counts[seen] @ self.log_prob[seen]
-            else:
-                total += self.log_prob[buckets].sum(0, dtype=np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Languages and posteriors of a batch: the sparse matrix of its n-grams times the log-probabilities."""
+        points = [_points(t) for t in texts]
+        known = np.array([bool(self.langs) and bool((p != 32).any()) for p in points])
+        total = np.tile(self.prior, (len(texts), 1))
+        for some in _slices(points, self.orders, max(1 << 10, _STEP // max(1, len(self.langs)))) if known.any() else ():
+            for owner, bucket in _grams(*some, self.orders, self.bits):
+                if len(owner):
+                    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+                    total[owner[starts]] += np.add.reduceat(self.log_prob[bucket], starts, axis=0, dtype=np.float64)
+        if not known.any():
+            return ["und"] * len(texts), [0.0] * len(texts)
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        langs = [self.langs[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())]
+        return langs, np.where(known, score, 0.0).tolist()
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -76,13 +109,13 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
 
     @F.pandas_udf("lang string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        rows = [shared.value.score(text) for text in texts]
-        return pd.DataFrame(rows, columns=["lang", "score"])
+        parts = [shared.value.score(texts.iloc[k : k + _TOGETHER].tolist()) for k in range(0, len(texts), _TOGETHER)]
+        return pd.DataFrame({"lang": [x for p in parts for x in p[0]], "score": [x for p in parts for x in p[1]]})
 
-    found = docs.drop("lang_pred", "lang_score").withColumn("lang_found", predict(F.col(text_col)))
-    return found.withColumns({"lang_pred": F.col("lang_found.lang"), "lang_score": F.col("lang_found.score")}).drop(
-        "lang_found"
-    )
+    name = fresh_name(docs, "lang_found")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    found = docs.select(*kept, predict(F.col(text_col)).alias(name))
+    return found.withColumns({"lang_pred": F.col(f"{name}.lang"), "lang_score": F.col(f"{name}.score")}).drop(name)
 
 
 def learn_languages(
@@ -93,10 +126,13 @@ def learn_languages(
     bits: int = 15,
     max_rows: int = 20_000,
     smoothing: float = 0.5,
+    max_langs: int = 512,
 ) -> LanguageModel:
     """A model from rows with a language (null ones are ignored), about `max_rows` at most, chosen by a hash.
 
-    Tasks count n-grams by language and bucket; what reaches the driver is the matrix of 2**bits counts a language.
+    Tasks count n-grams by language and bucket; what reaches the driver is the matrix of 2**bits counts a language. More
+    than `max_langs` languages among those rows are an error, as the matrix would no longer be small. Null and empty texts
+    count for the share of their language only; repeated rows count as often as they are there.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL")
     total = rows.count()
@@ -108,13 +144,18 @@ def learn_languages(
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
-                points = _points(text.as_py())
-                docs[lang] = docs.get(lang, 0) + 1
-                into = sums.setdefault(lang, np.zeros(1 << bits, np.int64))
-                for k in range(0, len(points), _STEP):
-                    buckets = _grams(points[k : k + _STEP], orders, bits)
-                    into += np.bincount(buckets, minlength=1 << bits)
+            langs = batch.column(1).to_pylist()
+            for k in range(0, len(langs), _TOGETHER):
+                own = langs[k : k + _TOGETHER]
+                for lang in own:
+                    docs[lang] = docs.get(lang, 0) + 1
+                    sums.setdefault(lang, np.zeros(1 << bits, np.int64))
+                points = [_points(t) for t in batch.column(0).slice(k, _TOGETHER).to_pylist()]
+                for some in _slices(points, orders, _STEP):
+                    for owner, bucket in _grams(*some, orders, bits):
+                        ends = np.searchsorted(owner, np.arange(len(own) + 1))
+                        for j in np.unique(owner).tolist():
+                            np.add.at(sums[own[j]], bucket[ends[j] : ends[j + 1]], 1)
         for lang, into in sums.items():
             seen = np.flatnonzero(into)
             bucket, value = np.append(seen, -1), np.append(into[seen], docs[lang])
@@ -122,6 +163,9 @@ def learn_languages(
                 [pa.array([lang] * len(bucket)), pa.array(bucket), pa.array(value)], ["lang", "bucket", "n"]
             )
 
+    met = len(rows.select("lang").distinct().limit(max_langs + 1).collect())
+    if met > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     parts = rows.mapInArrow(count, "lang string, bucket long, n long")
     sums = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = tuple(sorted(sums["lang"].unique()))

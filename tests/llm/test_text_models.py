@@ -1,7 +1,11 @@
+import math
+import zlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.language import learn_languages, predict_language
+from quillstone.llm.language import _grams, _points, _slices, learn_languages, predict_language
 from quillstone.llm.queries import op3_toxicity, op4_language_id
 from quillstone.llm.toxicity import ToxicityModel, fold, learn_toxicity, toxicity_scores
 
@@ -53,6 +57,62 @@ def test_language_edges(spark):
     assert predict_language(df, none).first()["lang_pred"] == "und"
 
 
+def _bucket(gram):
+    key = len(gram)
+    for c in gram:
+        key = (key * 0x100000001B3 % 2**64) ^ ord(c)
+    return (key * 0x9E3779B97F4A7C15 % 2**64) >> 49
+
+
+def _plain_grams(text):
+    low = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    one = [c for c in low if c != " "]
+    two = [low[k : k + 2] for k in range(len(low) - 1) if low[k : k + 2] != "  "]
+    three = [low[k : k + 3] for k in range(len(low) - 2) if low[k + 1] != " "]
+    return Counter(map(_bucket, one + two + three)), bool(one)
+
+
+def test_language_query_against_naive_bayes(spark, sf_dir):
+    """A plain multinomial naive Bayes over the same rows gives the same languages and posteriors on the whole table."""
+    docs = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    counts, shares = {}, Counter()
+    for d in docs:
+        if d["lang"] is not None and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2:
+            shares[d["lang"]] += 1
+            counts.setdefault(d["lang"], Counter()).update(_plain_grams(d["text"])[0])
+    totals = {k: sum(c.values()) + 0.5 * 2**15 for k, c in counts.items()}
+    got = {r["doc_id"]: r for r in op4_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for d in docs:
+        grams, letters = _plain_grams(d["text"])
+        logs = {k: math.log(shares[k] / shares.total()) + sum(n * math.log((counts[k][g] + 0.5) / totals[k]) for g, n in grams.items()) for k in counts}
+        best = max(sorted(logs), key=logs.get)
+        row = got[d["doc_id"]]
+        assert row["lang_pred"] == (best if letters else "und")
+        assert row["score"] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()) if letters else 0.0, abs=0.02)
+
+
+@pytest.mark.parametrize("most", [3, 7, 1 << 21])
+def test_no_gram_is_lost_between_slices(monkeypatch, most):
+    texts = ["an odd text, in words", None, "x", "", "to be or not to be", "né à Ävik"]
+    found = Counter()
+    for some in _slices([_points(t) for t in texts], (1, 2, 3), most):
+        for owner, bucket in _grams(*some, (1, 2, 3), 15):
+            found.update(zip(owner.tolist(), bucket.tolist()))
+    assert found == Counter({(k, b): n for k, t in enumerate(texts) for b, n in _plain_grams(t)[0].items()})
+
+
+def test_languages_clash_ties_and_repeats(spark):
+    rows = [("aa bb", "x"), ("aa bb", "y")]  # alike: a tie, which goes to the first name
+    model = learn_languages(spark.createDataFrame(rows, "text string, lang string"))
+    df = spark.createDataFrame([("aa", 1, 2, 3), ("aa", 1, 2, 3)], "text string, lang_found int, Lang_Score int, score int")
+    found = predict_language(df, model)
+    assert found.columns == ["text", "lang_found", "score", "lang_pred", "lang_score"]
+    assert [tuple(r) for r in found.collect()] == [("aa", 1, 3, "x", 0.5)] * 2
+    with pytest.raises(ValueError, match="languages"):
+        learn_languages(spark.createDataFrame(rows, "text string, lang string"), max_langs=1)
+
+
 def test_language_of_symbols_beyond_the_first_plane(spark):
     """Emoji, musical signs and digits there are no letters; letters there are, beside them too."""
     rows = [("the cat and the dog", "en"), ("le chat et le chien", "fr")]
