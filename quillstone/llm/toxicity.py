@@ -2,23 +2,24 @@
 
 Folding lower-cases, maps look-alike letters and digits to plain letters, so that disguised spellings meet the
 lexicon. Matches count at word bounds only and not inside an exception phrase. The sum of their weights, normalised
-by the length of the text in words, goes through a logistic curve. Weights and curve come from labelled rows.
+by the length of the text in words, goes through a logistic curve. Weights, exception phrases and curve come from labelled
+rows alone.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import few, save
+from quillstone.llm.common import few, fresh_name, save
 
 # Characters that look like Latin letters, and the letters they stand for.
 HOMOGLYPHS = {
@@ -30,11 +31,6 @@ HOMOGLYPHS = {
 # Digits and signs that stand for letters; signs do so only between two letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
-#: Words that are in the lexicon whatever the labels say, with this weight.
-SEED_TERMS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-SEED_WEIGHT = 4.0
-#: Phrases in which such a word is harmless.
-EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "trash bag", "pond scum", "soap scum", "sore loser")
 
 #: Full-width forms, by rule.
 _WIDE = {0xFEE0 + k: chr(k) for k in range(0x21, 0x7F)}
@@ -44,6 +40,8 @@ _HIDDEN = re.compile("[​-‍­]")
 _SIGN = re.compile(r"(?<=[^\W_])[@$!|](?=[^\W\d_])")
 _SIGNS = re.compile(r"[@$!|]")
 _WORD = re.compile(r"[^\W_]+")
+#: Standard normal quantile of the 95 % intervals.
+_Z = 1.96
 
 
 def fold(text: str | None) -> str:
@@ -61,7 +59,7 @@ class ToxicityModel:
     """Lexicon weights by folded term, exception phrases, and the logistic curve over the normalised sum."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     slope: float = 1.5
     offset: float = -4.0
 
@@ -118,9 +116,11 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, text_col: str = "text
         for texts in batches:
             yield _raw(texts, found)
 
-    curve = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col("toxic_match.raw")[0] + F.lit(model.offset))))
-    scored = docs.drop("toxicity", "toxic_hits").withColumn("toxic_match", match(F.col(text_col)))
-    return scored.withColumns({"toxicity": curve, "toxic_hits": F.col("toxic_match.hits")}).drop("toxic_match")
+    name = fresh_name(docs, "toxic_match")
+    curve = 1 / (1 + F.exp(-(F.lit(model.slope) * F.col(f"{name}.raw")[0] + F.lit(model.offset))))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("toxicity", "toxic_hits")]
+    scored = docs.select(*kept, match(F.col(text_col)).alias(name))
+    return scored.withColumns({"toxicity": curve, "toxic_hits": F.col(f"{name}.hits")}).drop(name)
 
 
 def _curve(sums: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[float, float]:
@@ -137,18 +137,49 @@ def _curve(sums: np.ndarray, labels: np.ndarray, counts: np.ndarray) -> tuple[fl
     return float(w[0]), float(w[1])
 
 
-def _weigh(count: DataFrame, bad: int, good: int, least_docs: int, false_terms: float, most: int) -> dict[str, float]:
+def _interval(share: Column, n: Column, side: int) -> Column:
+    """Lower (side -1) or upper (1) end of the 95 % interval of a share among n (Wilson's)."""
+    spread = _Z * F.sqrt(share * (1 - share) / n + F.lit(_Z * _Z / 4) / (n * n))
+    return (share + F.lit(_Z * _Z / 2) / n + side * spread) / (1 + F.lit(_Z * _Z) / n)
+
+
+def _weigh(count: DataFrame, bad: int, good: int, least_docs: int, false_terms: float) -> dict[str, float]:
     """Terms and weights from counts of toxic and other texts (term, b, g)."""
     count = count.where(F.col("b") + F.col("g") >= least_docs)
-    n, z, rate = F.col("b") + F.col("g"), F.lit(1.96), (bad + 1) / (bad + good + 2)
+    n, rate = F.col("b") + F.col("g"), (bad + 1) / (bad + good + 2)
     share = F.col("b") / n
-    low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    low = _interval(share, n, -1)
     weight = F.ln(low / (1 - low)) - F.lit(math.log(rate / (1 - rate)))
     surprise = n * (share * F.ln(share / rate) + F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - rate))).otherwise(0.0))
     heavy = count.where("b > 0").select("term", weight.alias("weight"), surprise.alias("surprise"))
     enough = math.log(max(count.count(), 1) / false_terms)
     heavy = heavy.where((F.col("weight") >= FLOORS[0]) & (F.col("surprise") >= enough))
-    return {r["term"]: r["weight"] for r in heavy.orderBy(F.desc("weight"), "term").limit(most).collect()}
+    return {r["term"]: r["weight"] for r in heavy.orderBy(F.desc("weight"), "term").collect()}
+
+
+def phrases_with(folded: str, terms: Container[str]) -> set[str]:
+    """Pairs of neighbouring words, a blank between them, of which one is a term at least."""
+    found, before = set(), None
+    for word in _WORD.finditer(folded):
+        if before and word.start() - before.end() == 1 and folded[before.end()] == " " and (before[0] in terms or word[0] in terms):
+            found.add(folded[before.start() : word.end()])
+        before = word
+    return found
+
+
+def _exceptions(rows: DataFrame, weights: dict[str, float]) -> tuple[str, ...]:
+    """Phrases of the labelled `rows` that hold a term and whose texts are mostly not toxic: the 95 % interval of their
+    share of toxic texts ends below one half."""
+    terms = rows.sparkSession.sparkContext.broadcast(frozenset(weights))
+
+    @F.pandas_udf("array<string>")
+    def phrases(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: list(phrases_with(fold(text), terms.value)))
+
+    count = rows.select("label", F.explode(phrases("text")).alias("phrase")).groupBy("phrase")
+    count = count.agg(F.avg("label").alias("share"), F.count(F.lit(1)).alias("n"))
+    harmless = count.where(_interval(F.col("share"), F.col("n"), 1) < 0.5)
+    return tuple(r["phrase"] for r in harmless.select("phrase").orderBy("phrase").collect())
 
 
 #: Least weights of terms that are tried on the rows put aside.
@@ -162,10 +193,8 @@ def learn_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     max_rows: int = 60_000,
-    max_terms: int = 20_000,
     least_docs: int = 3,
     false_terms: float = 1.0,
-    exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> ToxicityModel:
     """A model from the `docs` that `labels` give a label of 0 or 1 (others are ignored).
 
@@ -173,10 +202,11 @@ def learn_toxicity(
     only the chosen texts are kept for the passes that follow. A term is a word of a folded text, in `least_docs`
     texts at least. Its weight is the log odds of a text that holds it being toxic, at the lower end of their 95 %
     interval (Wilson's), over those of any text. Terms enter whose share of toxic texts is so unlikely to be chance
-    that `false_terms` of all terms are expected to enter by it (by Chernoff's bound), `max_terms` at most, the
-    heaviest first. A quarter of the rows is put aside: on them, and with terms from the others, the least weight
-    and the logistic curve are fitted. Then all rows give the terms. Without usable labels the seed terms remain.
-    Null ids meet none; repeated labels count as often as they are there.
+    that `false_terms` of all terms are expected to enter by it (by Chernoff's bound); `max_rows` bounds how many there
+    can be. Exceptions are pairs of words with a term whose texts are mostly not toxic. A quarter of the rows is put aside:
+    on them, and with terms and exceptions from the others, the least weight and the logistic curve are fitted. Then all
+    rows give terms and exceptions. Without usable labels the lexicon is empty and no text is toxic. Whole texts are read,
+    however long; null ids meet none; repeated labels count as often as they are there.
     """
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1))
     total = chosen.count()
@@ -190,18 +220,17 @@ def learn_toxicity(
     def terms(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: list(set(_WORD.findall(fold(text)))))
 
-    seeds = dict.fromkeys(map(fold, SEED_TERMS), SEED_WEIGHT)
     size = {(r["label"], r["aside"]): r["count"] for r in rows.groupBy("label", "aside").count().collect()}
     bad, good = size.get((1, False), 0), size.get((0, False), 0)
     if not (bad and good and size.get((1, True)) and size.get((0, True))):
-        return ToxicityModel(seeds, exceptions)
+        return ToxicityModel({})
     with_term = rows.select("label", "aside", F.explode(terms("text")).alias("term")).groupBy("term")
     sums = {"b": F.sum("label"), "g": F.sum(1 - F.col("label"))}
     aside = F.col("aside")
     sums |= {"fit_b": F.sum(F.when(~aside, F.col("label")).otherwise(0)), "fit_g": F.sum(F.when(~aside, 1 - F.col("label")).otherwise(0))}
     count = save(with_term.agg(*(c.alias(n) for n, c in sums.items())).where(F.col("b") + F.col("g") >= least_docs), "terms")
-    fitted = seeds | _weigh(count.select("term", F.col("fit_b").alias("b"), F.col("fit_g").alias("g")), bad, good, least_docs, false_terms, max_terms)
-    found = rows.sparkSession.sparkContext.broadcast(ToxicityModel(fitted, exceptions))
+    fitted = _weigh(count.select("term", F.col("fit_b").alias("b"), F.col("fit_g").alias("g")), bad, good, least_docs, false_terms)
+    found = rows.sparkSession.sparkContext.broadcast(ToxicityModel(fitted, _exceptions(rows.where(~aside), fitted)))
 
     @F.pandas_udf("array<double>")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -220,5 +249,5 @@ def learn_toxicity(
         best = min(best, (loss, FLOORS[k], slope, offset), key=lambda b: b[0])
     _, floor, slope, offset = best
     bad, good = bad + size[(1, True)], good + size[(0, True)]
-    weights = seeds | {t: w for t, w in _weigh(count, bad, good, least_docs, false_terms, max_terms).items() if w >= floor}
-    return ToxicityModel(weights, exceptions, slope, offset)
+    weights = {t: w for t, w in _weigh(count, bad, good, least_docs, false_terms).items() if w >= floor}
+    return ToxicityModel(weights, _exceptions(rows, weights), slope, offset)

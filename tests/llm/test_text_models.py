@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.language import _grams, _points, _slices, learn_languages, predict_language
 from quillstone.llm.queries import op3_toxicity, op4_language_id
-from quillstone.llm.toxicity import ToxicityModel, fold, learn_toxicity, toxicity_scores
+from quillstone.llm.toxicity import ToxicityModel, fold, learn_toxicity, phrases_with, toxicity_scores
 
 
 @pytest.mark.parametrize(("text", "folded"), [("STUPID", "stupid"), ("1d10t", "idiot"), ("ｍｏｒｏｎ", "moron"), ("ѕсum", "scum"), ("l0s3r", "loser"), ("tr@sh", "trash"), ("mo​ron", "moron"), ("wow!", "wow!"), ("$5", "$s"), (None, "")])
@@ -16,7 +17,7 @@ def test_fold(text, folded):
 
 
 def test_scores(spark):
-    model = ToxicityModel({"trash": 4.0, "idiot": 4.0})
+    model = ToxicityModel({"trash": 4.0, "idiot": 4.0}, ("trash can",))
     texts = ["you 1DIOT", "the trash can", "trash can and trash", "idiotic", "", None, "idiot " + "word " * 5000, "trashy idiots", "idiot, idiot"]
     df = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate(texts)], "doc_id long, text string, toxicity double")
     rows = {r["doc_id"]: r for r in toxicity_scores(df, model).collect()}
@@ -28,7 +29,50 @@ def test_scores(spark):
 def test_learning_without_labels(spark):
     docs, labels = spark.createDataFrame([(1, "a"), (None, "b")], "doc_id long, text string"), spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = learn_toxicity(docs, labels)
-    assert "idiot" in model.weights and model.slope > 0
+    assert model.weights == {} and model.exceptions == ()
+    assert [r["toxicity"] < 0.5 for r in toxicity_scores(docs, model).collect()] == [True, True]
+
+
+def test_learned_terms_and_exceptions(spark):
+    """A word of toxic texts enters, and a phrase that is harmless in spite of it; labels decide, no word is given."""
+    rng, rows = random.Random(5), []
+    for k in range(400):
+        words = rng.choices([f"w{j}" for j in range(60)], k=12)
+        words[rng.randrange(12)] = {0: "glarb", 1: "reef glarb"}.get(k % 4, "w0")
+        rows.append((k, " ".join(words), int(k % 4 == 0)))
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = learn_toxicity(docs, labels)
+    assert set(model.weights) == {"glarb"} and "reef glarb" in model.exceptions
+    odd = spark.createDataFrame([("gl4rb",), ("the reef glarb",), ("glarb " + "x " * 100,), ("x " * 300_000,)], "text string").withColumns({"toxic_match": F.lit(1), "Toxicity": F.lit(1)})
+    found = toxicity_scores(odd, model)
+    assert found.columns == ["text", "toxic_match", "toxicity", "toxic_hits"]
+    assert [r["toxicity"] >= 0.5 for r in found.collect()] == [True, False, True, False]
+    assert phrases_with("a glarb, glarb b  glarb c", {"glarb"}) == {"a glarb", "glarb b", "glarb c"}
+
+
+def test_scores_against_a_plain_matcher(spark, sf_dir):
+    """Every document of the table, by a search for each term and phrase in turn."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = learn_toxicity(docs, labels.where(~held))
+    model = ToxicityModel({**model.weights, "e": 0.5, "de": 1.5}, (*model.exceptions, "de la", "e de"), model.slope, model.offset)
+
+    def spans(text, term):
+        at = text.find(term)
+        while at >= 0:
+            if not (at and text[at - 1].isalnum()) and not text[at + len(term) : at + len(term) + 1].isalnum():
+                yield at, at + len(term)
+            at = text.find(term, at + 1)
+
+    got = {r["doc_id"]: r for r in toxicity_scores(docs, model).collect()}
+    for r in docs.collect():
+        text = fold(r["text"])
+        safe = [s for e in model.exceptions for s in spans(text, e)]
+        hits = [w for t, w in model.weights.items() for a, b in spans(text, t) if not any(c <= a and b <= d for c, d in safe)]
+        raw = sum(hits) / (1 + math.log1p((text.count(" ") + text.count("\n") + 1) / 200))
+        assert got[r["doc_id"]]["toxic_hits"] == len(hits)
+        assert got[r["doc_id"]]["toxicity"] == pytest.approx(1 / (1 + math.exp(-(model.slope * raw + model.offset))))
 
 
 def test_toxicity_on_held_out_rows(spark):
