@@ -14,12 +14,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import few, save, shared_folder
+from quillstone.llm.common import BROADCAST_ROWS, few, fresh_name, save, shared_folder
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows for each partition of the state. How many there are is fixed when the state is begun, whatever a later session's
 #: shuffle setting; each one is a store of its own with files of some megabytes.
 STATE_ROWS = 2_000_000
+#: Copies from which a digest is common. Common digests are broadcast, so that their rows stay where they are; there are
+#: `BROADCAST_ROWS` of them at most, as each then has one in so many of all rows.
+LEAST_COMMON = 1000
 
 
 def sha256(text: Column) -> Column:
@@ -77,7 +80,8 @@ def exact_duplicates(
 
     apart = spark.newSession()  # its settings end with it
     apart.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    stores = max(spark.sparkContext.defaultParallelism, -(-feed.count() // STATE_ROWS))
+    count = feed.count()
+    stores = max(spark.sparkContext.defaultParallelism, -(-count // STATE_ROWS))
     apart.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(stores))
     apart.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     apart.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
@@ -92,7 +96,9 @@ def exact_duplicates(
         bytes_of.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest"),
         "collisions",
     )
-    rows = feed.join(retained, "digest")
+    bar = max(LEAST_COMMON, count / BROADCAST_ROWS)
+    common, rare = F.broadcast(retained.where(F.col("copies") >= bar)), retained.where(F.col("copies") < bar)
+    rows = feed.join(common, "digest").unionByName(feed.join(common, "digest", "left_anti").join(rare, "digest"))
     if not differ.isEmpty():
         shared = save(bytes_of.join(differ, "digest", "left_semi"), "shared")
         split = shared.groupBy("digest", "text").agg(
@@ -120,9 +126,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     except AnalysisException:
         located = save(docs, "content")
     gone = exact_duplicates(located, id_col, text_col).where(~F.col("kept"))
-    gone = save(gone.select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row")), "dropped")
-    placed = located.select(
-        "*", F.col("_metadata.file_path").alias("placed_file"), F.col("_metadata.row_index").alias("placed_row")
-    )
-    here = (F.col("placed_file") == F.col("gone_file")) & (F.col("placed_row") == F.col("gone_row"))
-    return placed.join(few(gone), here, "left_anti").drop("placed_file", "placed_row")
+    gone = few(save(gone.select(F.col("file").alias("gone_file"), F.col("row").alias("gone_row")), "dropped"))
+    file, row = fresh_name(located, "placed_file"), fresh_name(located, "placed_row")
+    placed = located.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    here = (placed[file] == gone["gone_file"]) & (placed[row] == gone["gone_row"])
+    return placed.join(gone, here, "left_anti").drop(file, row)

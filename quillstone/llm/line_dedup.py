@@ -16,8 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import save
+from quillstone.llm.common import BROADCAST_ROWS, save
 
+#: Places of a digest from which it is common. Common digests are broadcast, so that their places stay where they are; there
+#: are `BROADCAST_ROWS` of them at most, as each then has one in so many of all places that share a digest.
+LEAST_COMMON = 1000
 _END = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+")
 
 
@@ -76,8 +79,8 @@ def _as_spans(rows: list[list[tuple[int, int]]]) -> pa.ListArray:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """One row per row of `docs`: id, text (cleaned), kept_spans, removed_spans, copies_of (ids), n_removed.
 
-    Spans are character offsets in the original text. A unit of fewer than `least_words` words always stays, and so
-    does the first occurrence in a document unless a document with a smaller id has the unit; `copies_of` are the ids
+    Spans are character offsets in the original text. A unit of fewer than `least_words` words always stays (with 1 every
+    repeated unit goes, one-word lines of clean texts too), and so does the first occurrence in a document unless a document with a smaller id has the unit; `copies_of` are the ids
     of the documents where removed units stay. Null texts count as empty; null ids come last; rows that repeat an id
     don't remove each other's units. Other columns are not looked at.
     """
@@ -109,8 +112,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     cuts = save(rows.select("id", "version", units("text").alias("u")).select("id", "version", "u.*"), "units")
     places = cuts.select("id", "version", F.inline("units"))
-    groups = places.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = places.join(groups.drop("n"), ["hi", "lo"]).where(~F.col("id").eqNullSafe(F.col("first")))
+    groups = places.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = save(groups.where("n > 1"), "groups")
+    shares = groups.agg(F.sum("n")).first()[0] or 0
+    common = groups.where(F.col("n") >= max(LEAST_COMMON, shares / BROADCAST_ROWS)).drop("n")
+    rare = groups.where(F.col("n") < max(LEAST_COMMON, shares / BROADCAST_ROWS)).drop("n")
+    marked = places.join(F.broadcast(common), ["hi", "lo"], "left_anti").join(rare, ["hi", "lo"])
+    copies = places.join(F.broadcast(common), ["hi", "lo"]).unionByName(marked).where(~F.col("id").eqNullSafe(F.col("first")))
     repeats = cuts.select("id", "version", F.explode("again").alias("unit"), F.lit(None).cast("bigint").alias("first"))
     gone = copies.select("id", "version", "unit", "first").union(repeats).groupBy("id", "version")
     gone = gone.agg(F.collect_set("unit").alias("gone"), F.array_sort(F.collect_set("first")).alias("copies_of"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import fresh_name
+
 #: Rows that the table of sources has at most to be broadcast (a name, a weight and a list of thresholds each).
 BROADCAST_SOURCES = 10_000
 
@@ -69,17 +71,18 @@ def mix_sources(
     The variable is drawn by inverting its distribution at a hash of seed and id, so a rerun gives the same rows.
     Columns of `docs` stay, with `copy` (from 0) added in place of any such column. Null sources are one source,
     null ids one id; rows that repeat an id are drawn alike. Texts are not looked at unless `by_length` is set. An
-    empty table stays empty. The order of the result is that of a hash of id and copy.
+    empty table stays empty. The order of the result is that of a hash of the row and its copy number.
     """
-    rates = source_rates(docs, weights, source_col, epochs, by_length).select(
-        F.col("name").alias("mix_source"), F.col("cdf").alias("mix_cdf")
-    )
+    names = {k: fresh_name(docs, f"mix_{k}") for k in ("source", "cdf", "n", "order")}
+    rates = source_rates(docs, weights, source_col, epochs, by_length)
+    rates = rates.select(F.col("name").alias(names["source"]), F.col("cdf").alias(names["cdf"]))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    drawn = docs.drop("copy").join(rates, F.col(source_col).eqNullSafe(F.col("mix_source")))
-    copies = F.size(F.filter("mix_cdf", lambda c: c <= uniform(F.col(id_col), seed)))
-    drawn = drawn.withColumn("mix_n", copies).where("mix_n > 0").drop("mix_cdf", "mix_source")
-    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mix_n") - 1))).drop("mix_n")
-    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy"))
-    placed = copied.withColumn("mix_order", order)
-    return placed.repartition("mix_order").sortWithinPartitions("mix_order").drop("mix_order")
+    drawn = docs.drop("copy").join(rates, F.col(source_col).eqNullSafe(F.col(names["source"])))
+    copies = F.size(F.filter(names["cdf"], lambda c: c <= uniform(F.col(id_col), seed)))
+    drawn = drawn.withColumn(names["n"], copies).where(F.col(names["n"]) > 0).drop(names["cdf"], names["source"])
+    copied = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(names["n"]) - 1))).drop(names["n"])
+    # All columns count, so that rows of one id, or of none, don't meet in one task unless they are alike.
+    content = [F.col(f"`{c}`") for c, kind in copied.dtypes if "map<" not in kind and kind != "variant"]
+    placed = copied.withColumn(names["order"], F.xxhash64(F.lit(seed), *content))
+    return placed.repartition(names["order"]).sortWithinPartitions(names["order"]).drop(names["order"])

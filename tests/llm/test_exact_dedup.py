@@ -25,9 +25,9 @@ def test_groups(spark, digest):
 
 
 def test_kept_rows_keep_their_columns(spark):
-    df = spark.createDataFrame([(i, t, "s") for i, t in ROWS], "doc_id long, text string, file string")
+    df = spark.createDataFrame([(i, t, "s", 1, 2) for i, t in ROWS], "doc_id long, text string, file string, placed_file int, Placed_Row int")
     kept = keep_first(df)
-    assert kept.columns == df.columns and kept.count() == len({t or "" for _, t in ROWS})
+    assert kept.columns == df.columns and [tuple(r)[2:] for r in kept.collect()] == [("s", 1, 2)] * len({t or "" for _, t in ROWS})
     assert keep_first(df.limit(0)).count() == 0 and exact_duplicates(df.limit(0)).count() == 0
 
 

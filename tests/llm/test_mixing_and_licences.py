@@ -39,6 +39,10 @@ def test_mixing_edges(spark):
     assert mix_sources(docs.limit(0)).count() == 0
     assert all(r["rate"] == 1.0 for r in source_rates(docs, None, by_length="text").collect())
     assert mix_sources(docs, epochs=50).where("doc_id = 1").groupBy("copy").count().where("count <> 2").count() == 0
+    clash = docs.withColumns({"mix_source": F.lit(1), "mix_cdf": F.lit(2), "MIX_N": F.lit(3), "mix_order": F.lit(4)})
+    mixed = mix_sources(clash, epochs=9)
+    assert mixed.columns == ["doc_id", "text", "source", "mix_source", "mix_cdf", "MIX_N", "mix_order", "copy"]
+    assert {tuple(r)[3:7] for r in mixed.collect()} == {(1, 2, 3, 4)}
     none = spark.createDataFrame([("a", 0.0)], "source string, weight double")
     assert mix_sources(docs, none).count() == 0
     u = spark.range(1000).select(uniform(F.col("id"), 1).alias("u"))

@@ -1,8 +1,10 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.line_dedup import cut, dedup_lines, unit_digests, without
+from quillstone.llm.line_dedup import cut, dedup_lines, without
 from quillstone.llm.queries import op9_line_dedup
 from quillstone.llm.top_k import Searched, block_top_k, exact_top_k, quantise, segment_statistics
 
@@ -99,12 +101,47 @@ def test_lines(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
-def test_lines_against_brute_force(spark, sf_dir):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    owner = {}
+def plain_units(text):
+    """Units as (start, end), by looking at one character after the other."""
+    units, start, k = [], None, 0
+    while k <= len(text):
+        ends = k == len(text) or text[k] == "\n"
+        ends |= k > 0 and not ends and text[k].isspace() and text[k - 1] in ".!?…"
+        if ends:
+            if start is not None:
+                units.append((start, k))
+            start = None
+            line = k < len(text) and text[k] == "\n"
+            while k < len(text) and (text[k] == "\n" if line else text[k].isspace() and text[k] != "\n"):
+                k += 1
+            if k == len(text):
+                break
+            if text[k] == "\n":
+                continue
+        if start is None:
+            start = k
+        k += 1
+    return units
+
+
+@pytest.mark.parametrize(("least", "common"), [(5, 1000), (1, 3)])
+def test_lines_against_brute_force(spark, sf_dir, monkeypatch, least, common):
+    monkeypatch.setattr("quillstone.llm.line_dedup.LEAST_COMMON", common)
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] or "" for r in source.collect()}
+    seen, wanted = set(), {}
     for doc_id in sorted(docs):
-        for _, digest in unit_digests(docs[doc_id], 5)[0]:
-            owner.setdefault(digest, doc_id)
-    for r in op9_line_dedup(spark, sf_dir).collect():
-        first, again = unit_digests(docs[r["doc_id"]], 5)
-        assert r["text"] == without(docs[r["doc_id"]], {k for k, d in first if owner[d] != r["doc_id"]} | {k for k, _ in again})[0]
+        text, gone = docs[doc_id], []
+        for a, b in plain_units(text):
+            words = tuple(text[a:b].lower().split())
+            if len(words) >= least:
+                if words in seen:
+                    gone.append((a, b))
+                seen.add(words)
+        wanted[doc_id] = gone
+    assert sum(map(bool, wanted.values())) > 5
+    found = op9_line_dedup(spark, sf_dir) if least == 5 else dedup_lines(source, least_words=1)
+    for r in found.collect():
+        removed = [tuple(x.values()) for x in json.loads(r["removed_spans"])] if least == 5 else [tuple(x) for x in r["removed_spans"]]
+        assert removed == wanted.pop(r["doc_id"]) and r["n_removed"] == len(removed)
+    assert not wanted
