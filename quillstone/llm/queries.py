@@ -10,7 +10,7 @@ from quillstone.llm.bpe import tokenise
 from quillstone.llm.common import table
 from quillstone.llm.exact_dedup import exact_duplicates
 from quillstone.llm.language import learn_languages, predict_language
-from quillstone.llm.licences import MARKERS, TEMPLATES, scan_licences
+from quillstone.llm.licences import scan_licences, template_bodies
 from quillstone.llm.line_dedup import dedup_lines
 from quillstone.llm.mixing import mix_sources
 from quillstone.llm.near_dedup import near_duplicates
@@ -57,8 +57,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence of each document, its own or inherited; documents lie in folders source/lang."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """Licence of each document, its own or inherited.
+
+    Documents have no paths: they lie in source/lang/<thousand>, and two of three in a folder or two below that; one in five
+    is called NOTICE.
+    """
+    n = F.col("doc_id")
+    thousand, hundred, ten = (F.expr(f"doc_id div {k}").cast("string") for k in (1000, 100, 10))
+    deeper = F.when(n % 3 == 1, hundred).when(n % 3 == 2, F.concat_ws("/", hundred, ten))
+    path = F.concat_ws("/", "source", "lang", thousand, deeper, F.when(n % 5 == 0, "NOTICE").otherwise(n.cast("string")))
     return scan_licences(table(spark, sf_dir, "documents"), path)
 
 
@@ -109,9 +116,9 @@ QUERIES = {
     )
 }
 
-_TEMPLATES = ", ".join(f"('{name}', '{body}')" for name, body in TEMPLATES.items())
-_MARKED = " OR ".join(f"contains(lower({{0}}), '{m}')" for m in MARKERS)
-_TERMS = r"unnest(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda t: t <> ''))"
+_BODIES = template_bodies()
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, body.replace("'", "''")) for k, (name, body) in enumerate(_BODIES))
+_TERMS = r"unnest(list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{N}]+'), lambda t: t <> '')))"
 
 #: Equivalent SQL of the queries that it can express.
 ORACLES: dict[str, str] = {
@@ -134,31 +141,39 @@ drawn AS (
   FROM documents d JOIN steps USING (source))
 SELECT doc_id, text, lang, source, n_chars, unnest(range(len(list_filter(totals, lambda t: t <= u))))::INTEGER AS copy FROM drawn""",
     "op6_license_scan": f"""
-WITH tpl(license, body) AS (VALUES {_TEMPLATES}),
-counts AS (SELECT license, term, count(*)::DOUBLE AS c FROM (SELECT license, {_TERMS} AS term FROM tpl) GROUP BY ALL),
-idf AS (SELECT term, ln({1.0 + len(TEMPLATES)} / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term),
-weighed AS (SELECT license, term, c * idf AS w FROM counts JOIN idf USING (term)),
-unit AS (SELECT license, term, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS weight FROM weighed),
-cut AS (SELECT doc_id, len(string_split(text, chr(10))) AS lines, unnest(string_split(text, chr(10))) AS body FROM documents),
-lines AS (SELECT * FROM cut WHERE {_MARKED.format("body")}),
-words AS (SELECT body, term, count(*)::DOUBLE AS c FROM (SELECT body, {_TERMS} AS term FROM (SELECT DISTINCT body FROM lines)) GROUP BY ALL),
-vectors AS (SELECT body, term, c * coalesce(idf, ln({1.0 + len(TEMPLATES)}) + 1) AS w FROM words LEFT JOIN idf USING (term)),
+WITH tpl(template, license, body) AS (VALUES {_TEMPLATES}),
+counts AS (SELECT template, license, {_TERMS} AS term FROM tpl),
+idf AS (SELECT term, ln({1.0 + len(_BODIES)} / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term),
+unit AS (SELECT template, license, term, idf / sqrt(sum(idf * idf) OVER (PARTITION BY template)) AS weight FROM counts JOIN idf USING (term)),
+texts AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, regexp_split_to_array(text, '\n[ \t\r]*\n') AS ps FROM documents),
+units AS (
+  SELECT doc_id, len(ls) = 1 AS whole, unnest(ls) AS body FROM texts
+  UNION ALL SELECT doc_id, len(ps) = 1, unnest(list_filter(ps, lambda p: contains(p, chr(10)))) FROM texts
+  UNION ALL SELECT doc_id, true, text FROM texts WHERE len(ps) > 1),
+words AS (SELECT body, {_TERMS} AS term FROM (SELECT DISTINCT body FROM units)),
+vectors AS (SELECT body, term, coalesce(idf, ln({1.0 + len(_BODIES)}) + 1) AS w FROM words LEFT JOIN idf USING (term)),
 norms AS (SELECT body, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY body),
 scored AS (
-  SELECT body, license, round(sum(w * weight) / any_value(norm), 6) AS cosine
-  FROM vectors JOIN unit USING (term) JOIN norms USING (body) GROUP BY body, license),
-best AS (SELECT * FROM scored WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY body ORDER BY cosine DESC, license) = 1),
+  SELECT body, template, license, count(*) AS shared, round(sum(w * weight) / any_value(norm), 6) AS cosine
+  FROM vectors JOIN unit USING (term) JOIN norms USING (body) GROUP BY body, template, license),
+best AS (SELECT * FROM scored WHERE cosine >= 0.6 QUALIFY row_number() OVER (PARTITION BY body ORDER BY cosine DESC, license, shared DESC) = 1),
 own AS (
-  SELECT doc_id, license, cosine, min(lines) OVER (PARTITION BY doc_id) AS lines FROM lines JOIN best USING (body)
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
-placed AS (SELECT doc_id, source || '/' || lang AS folder, license, cosine, lines FROM documents LEFT JOIN own USING (doc_id)),
+  SELECT doc_id, license, cosine, shared, max(whole::INT) OVER (PARTITION BY doc_id) = 1 AS whole FROM units JOIN best USING (body)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, cosine DESC, license) = 1),
+placed AS (
+  SELECT doc_id, concat_ws('/', source, lang, doc_id // 1000, CASE doc_id % 3 WHEN 1 THEN (doc_id // 100)::VARCHAR
+    WHEN 2 THEN (doc_id // 100) || '/' || (doc_id // 10) END) AS folder, doc_id % 5 = 0 AS named, license, cosine, shared, whole
+  FROM documents LEFT JOIN own USING (doc_id)),
 given AS (
-  SELECT folder, license AS up, cosine AS near FROM placed WHERE lines <= 3
-  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1)
+  SELECT folder AS up_folder, license AS up, cosine AS near FROM placed WHERE license IS NOT NULL AND (named OR whole)
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY shared DESC, cosine DESC, license) = 1),
+walked AS (
+  SELECT p.*, up, near, up_folder FROM placed p LEFT JOIN given ON p.folder = up_folder OR starts_with(p.folder, up_folder || '/')
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(up_folder) DESC NULLS LAST) = 1)
 SELECT doc_id, coalesce(license, up) AS license, coalesce(cosine, near) AS cosine,
        CASE WHEN license IS NOT NULL THEN 'own' WHEN up IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
-       CASE WHEN license IS NULL AND up IS NOT NULL THEN folder END AS directory
-FROM placed LEFT JOIN given USING (folder)""",
+       CASE WHEN license IS NULL THEN up_folder END AS directory
+FROM walked""",
     "op8_exact_top_k": """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings

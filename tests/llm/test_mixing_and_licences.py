@@ -49,17 +49,45 @@ def test_mixing_edges(spark):
     assert 0.45 < u.agg(F.avg("u")).first()[0] < 0.55
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+
+
 def test_statements(spark):
-    text = "A story about apes.\nLicensed under the Apache License, Version 2.0.\nReleased  under the MIT license\nThis licence is unlike any other one that people know of\n"
-    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x " * 100_000 + "\nLicensed under CC BY-NC 4.0.")], "doc_id long, text string")
-    got = {(r["id"], r["line"], r["license"]) for r in licence_statements(docs).collect()}
-    assert got == {(1, 1, "Apache-2.0"), (1, 2, "MIT"), (4, 1, "CC-BY-NC-4.0")}
+    texts = {
+        1: ("A story about apes.\nLicensed under the Apache License, Version 2.0.\nReleased  under the MIT license\nThis licence is unlike any other one that people know of\n", {"Apache-2.0", "MIT"}),
+        2: (None, set()), 3: ("", set()),
+        4: ("x " * 100_000 + "\nLicensed under CC BY-NC 4.0.", {"CC-BY-NC-4.0"}),
+        5: (MIT_FILE, {"MIT"}),
+        6: ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", {"BSD-3-Clause"}),
+        7: ("/*\n * This program is free software: you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published by the Free\n * Software Foundation, either version 3 of the License, or (at your option) any\n * later version.\n */", {"GPL-3.0"}),
+        8: ("Text of a page.\nAll rights reserved.", {"Proprietary"}),
+        9: ("the terms of this work and the use of it by any person are in the text, as is the part above", set()),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    got = {}
+    for r in licence_statements(docs).collect():
+        got.setdefault(r["id"], set()).add(r["license"])
+    assert all(wanted <= got.get(k, set()) and bool(wanted) == (k in got) for k, (_, wanted) in texts.items())
+    best = {r["doc_id"]: r["license"] for r in scan_licences(docs, F.lit(None).cast("string")).collect()}
+    assert best == {1: "Apache-2.0", 2: None, 3: None, 4: "CC-BY-NC-4.0", 5: "MIT", 6: "BSD-3-Clause", 7: "GPL-3.0", 8: "Proprietary", 9: None}
 
 
 def test_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     rows = [
-        (1, "LICENSE", mit), (2, "a/LICENSE", gpl + "\n" * 5), (3, "a/b/c/x.py", "code"), (4, "d/y.py", ""), (5, "a/b/own.py", mit + "\nx\ny\nz\nw"),
+        (1, "LICENSE", mit), (2, "a/LICENSE", gpl + "\n" * 5), (3, "a/b/c/x.py", "code"), (4, "d/y.py", ""), (5, "a/b/own.py", mit + "\nx\ny\nz\nw"), (9, "e/f/g", None), (10, "e/h", mit),
         (6, "z.py", None), (7, None, "code"), (8, "e/notice.txt", "nothing here"), (8, "e/notice.txt", "nothing here"),
     ]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, path string, text string, license string")
@@ -67,6 +95,6 @@ def test_inheritance(spark):
     got = {(r["doc_id"], r["license"], r["basis"], r["directory"]) for r in found.collect()}
     assert got == {
         (1, "MIT", "own", None), (2, "GPL-3.0", "own", None), (3, "GPL-3.0", "inherited", "/repo/a"), (4, "MIT", "inherited", "/repo"),
-        (5, "MIT", "own", None), (6, "MIT", "inherited", "/repo"), (7, None, "none", None), (8, "MIT", "inherited", "/repo"),
+        (5, "MIT", "own", None), (6, "MIT", "inherited", "/repo"), (7, None, "none", None), (8, "MIT", "inherited", "/repo/e"), (9, "MIT", "inherited", "/repo/e"), (10, "MIT", "own", None),
     }
     assert found.count() == len(rows) and scan_licences(docs.limit(0), F.col("path")).count() == 0
