@@ -233,9 +233,11 @@ def _walk(tries: Tries, skip: int):
         apart = np.bitwise_count(((lo[starts] & cell) ^ (hi[starts] & cell)) >> 20).astype(np.int64)
         groups = np.stack([starts, mids, np.where(own, starts, mids), ends, apart], 1)
         groups = groups[(groups[:, 0] < groups[:, 1]) & (groups[:, 2] < groups[:, 3])]
-        found = [(key[i], key[j]) for i, j in trie_links(path, words, groups, skip, tries)]
-        columns = [np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*found) if found else ((), ()))]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["src", "dst"])
+        forest = _Forest(len(path))
+        for i, j in trie_links(path, words, groups, skip, tries):
+            forest.add(i, j)
+        leaf = np.flatnonzero(forest.labels != np.arange(len(path)))  # stars shrink in fewer rounds than chains do
+        return pa.RecordBatch.from_arrays([pa.array(key[leaf]), pa.array(key[forest.labels[leaf]])], ["src", "dst"])
 
     return whole_groups(links, ("lo", "hi"))
 
@@ -269,7 +271,7 @@ def whole_groups(of, by: tuple[str, ...]):
 def hamming_links(prints: DataFrame, tries: Tries, words: tuple[str, ...] = ("fp",), node: int = 1 << 15, hot: int = 1 << 15) -> DataFrame:
     """Distinct fingerprints `prints` (key long, words long) to links (src, dst) of keys that the tries lead to.
 
-    Links in one task are thinned to a spanning forest: the components are those of all links. The count of fingerprints
+    What a task links leaves it as stars, a link a leaf: the components are those of all links. The count of fingerprints
     gives the depth from which tasks walk, so that a node there has about `node` leaves, and each leaf goes to every node
     pair that the budget allows at that depth. A node with more than `hot` leaves is split into parts by a salt, and
     each pair of parts is walked by itself. Nulls are no fingerprints and must be left out.

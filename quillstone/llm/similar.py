@@ -58,11 +58,12 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def set_links(sets: list[np.ndarray], words: np.ndarray, mid: int, least: float, budget: int) -> tuple[list[int], list[int]]:
-    """Links (i, j) at `least` or more between the first `mid` sets and the others, or between all if mid is their number.
+    """What links at `least` or more connect, as stars (i, centre), between the first `mid` sets and the others, or between all
+    if mid is their number.
 
     Only pairs within `budget` bits are compared, and not those that links found so far connect.
     """
-    up, src, dst = list(range(len(sets))), [], []
+    up = list(range(len(sets)))
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -78,9 +79,8 @@ def set_links(sets: list[np.ndarray], words: np.ndarray, mid: int, least: float,
             a, b = root(i), root(j)
             if a != b and jaccard(sets[i], sets[j]) >= least:
                 up[a] = b
-                src.append(i)
-                dst.append(j)
-    return src, dst
+    leaves = [k for k in range(len(sets)) if root(k) != k]
+    return leaves, [root(k) for k in leaves]
 
 
 def _compare(least: float, shingle: int, budget: int):
