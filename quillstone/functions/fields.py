@@ -168,14 +168,14 @@ def to_upper() -> Transformer:
 
 
 def to_price() -> Transformer:
-    """A number without currency signs and thousands separators; null for prices on request."""
+    """A number without currency signs and thousands separators; null for prices on request and for a sign alone."""
 
     def apply(c: Column) -> Field:
         text = F.trim(c)
         asked = F.lower(text).contains("request") | F.lower(text).contains("price on")
         bare = F.trim(F.regexp_replace(text, "[$€£¥,]", ""))
         value = F.when(~asked, _real(bare))
-        return Field(value, F.when((text != "") & ~asked & value.isNull(), F.concat(F.lit("invalid price: "), text)))
+        return Field(value, F.when((bare != "") & ~asked & value.isNull(), F.concat(F.lit("invalid price: "), text)))
 
     return apply
 
@@ -186,9 +186,9 @@ def to_year() -> Transformer:
     def apply(c: Column) -> Field:
         text = F.trim(c)
         year = F.when(F.lower(text) != "unknown", F.trim(F.regexp_extract(text, r"^([^ (]*)", 1)))
-        year = F.when(year.rlike(r"^[+-]?\d+$"), year.try_cast("int"))
-        fits = year.between(1900, 2100)
-        return Field(F.when(fits, year), F.when(~fits, F.concat(F.lit("year out of range: "), text)))
+        number = year.rlike(r"^[+-]?\d+$")
+        fits = F.coalesce(F.when(number, year.try_cast("bigint")).between(1900, 2100), F.lit(False))
+        return Field(F.when(fits, year.try_cast("int")), F.when(number & ~fits, F.concat(F.lit("year out of range: "), text)))
 
     return apply
 

@@ -161,12 +161,19 @@ def filter_eav(eav: DataFrame, schema: EntitySchema, condition: Condition | None
 
 
 def filter_eav_semi(rows: DataFrame, eav: DataFrame, schema: EntitySchema, condition: Condition, options: FilterOptions = FilterOptions()) -> DataFrame:
-    """The same by semi-joins with the rows of each comparison: worth while if few rows pass and the rest is large."""
+    """`rows` whose attribute-value rows meet a condition, by one semi-join: with the rows of a single comparison, which its
+    attribute's id and value pick out at the scan, or with what one aggregation leaves of a tree of them."""
     if isinstance(condition, Leaf):
         found = schema.attribute(condition.attribute)
         test = (F.col("attr_id") == found.id) & comparison(found, condition, options)(eav_value(found))
         return rows.join(eav.where(test).select("row_id"), "row_id", "left_semi")
-    if condition.logic == "and":
-        return reduce(lambda r, c: filter_eav_semi(r, eav, schema, c, options), condition.children, rows)
-    parts = [filter_eav_semi(rows, eav, schema, c, options).select("row_id") for c in condition.children]
-    return rows.join(reduce(DataFrame.union, parts), "row_id", "left_semi") if parts else rows
+    if not list(leaves_of(condition)):
+        return rows
+    return rows.join(filter_eav(eav, schema, condition, options), "row_id", "left_semi")
+
+
+def filter_hot_and_eav(
+    df: DataFrame, eav: DataFrame, schema: EntitySchema, hot: Condition | None, rest: Condition, options: FilterOptions = FilterOptions()
+) -> DataFrame:
+    """Rows of a table with hot columns that meet `hot` on those and `rest` on their attribute-value rows."""
+    return filter_eav_semi(filter_entities(df, schema, hot, options), eav, schema, rest, options)

@@ -93,15 +93,21 @@ def _holds(depth: int, place: Column) -> Callable[[Column], Column]:
     return lambda parts: F.get(parts, F.lit(depth)) == place.cast("string")
 
 
-def from_eav(eav: DataFrame, schema: EntitySchema) -> DataFrame:
+def from_eav(eav: DataFrame, schema: EntitySchema, hot: DataFrame | None = None) -> DataFrame:
     """Nested rows of attribute-value rows, by one aggregation a row.
 
+    With `hot` the rows are those of the hot table, joined once, and its columns give the attributes bound to them.
+
     Arrays follow their numeric indices, and gaps are filled with nulls. Attributes that the schema doesn't have are
     left out. Rows come from attribute-value rows alone: a row without any is not there.
     """
     kind = schema.spark_type()
     maps, gathered = {}, []
+    bound = {a.id for a in _hot(schema)} if hot is not None else set()
     for found in schema.attributes.values():
+        maps[found.name] = f"attr_{found.id}"
+        if found.id in bound:
+            continue
         inside = any(found.name == a or found.name.startswith(f"{a}.") for a in schema.arrays)
         value = _typed(found, F.col("value_text"), F.col("value_numeric"))
         here = F.col("attr_id") == found.id
@@ -111,7 +117,6 @@ def from_eav(eav: DataFrame, schema: EntitySchema) -> DataFrame:
             gathered.append(F.map_from_entries(F.collect_list(F.when(here, pair))).alias(name))
         else:
             gathered.append(F.max(F.when(here, value)).alias(name))
-        maps[found.name] = name
 
     def length(names: list[str], prefix: list[Column]) -> Column:
         """Elements of an array at some indices, the largest below it plus one."""
@@ -143,7 +148,10 @@ def from_eav(eav: DataFrame, schema: EntitySchema) -> DataFrame:
         empty = reduce(lambda a, b: a & b, (value.getField(n).isNull() for n in at.names))
         return F.when(~empty, value)
 
-    grouped = eav.groupBy("row_id").agg(*gathered)
+    grouped = eav.groupBy("row_id").agg(*gathered) if gathered else eav.select("row_id").distinct()
+    if hot is not None:
+        decoded = (_typed(a, *_stored(a, decode_hot(a, F.col(a.column)))).alias(f"attr_{a.id}") for a in _hot(schema))
+        grouped = hot.select("row_id", *decoded).join(grouped, "row_id", "left")
     return grouped.select("row_id", *(build(f.dataType, f.name, []).alias(f.name) for f in kind.fields))
 
 
@@ -224,12 +232,4 @@ def split_record(df: DataFrame, schema: EntitySchema) -> tuple[DataFrame, DataFr
 
 def merge_record(hot: DataFrame, eav: DataFrame, schema: EntitySchema) -> DataFrame:
     """Nested rows of both layouts; a row without attribute-value rows stays, with nulls."""
-    bound = {a.id for a in _hot(schema)}
-    rows = []
-    for found in _hot(schema):
-        text, number = _stored(found, decode_hot(found, F.col(found.column)))
-        rows.append(F.struct(F.lit(found.id).cast("smallint").alias("attr_id"), F.lit("").alias("array_indices"), text.alias("value_text"), number.alias("value_numeric")))
-    if rows:
-        held = F.filter(F.array(*rows), lambda r: r["value_text"].isNotNull() | r["value_numeric"].isNotNull())
-        eav = eav.where(~F.col("attr_id").isin(*bound)).unionByName(hot.select("schema_id", "row_id", F.inline(held)))
-    return hot.select("row_id").join(from_eav(eav, schema), "row_id", "left")
+    return from_eav(eav, schema, hot)

@@ -12,7 +12,7 @@ from quillstone.functions import convert
 from quillstone.functions import fields as ff
 from quillstone.operators import changes, layout, search, validation
 from quillstone.operators.conditions import parse
-from quillstone.operators.filters import FilterOptions, filter_eav, filter_eav_semi, filter_entities
+from quillstone.operators.filters import FilterOptions, filter_eav, filter_eav_semi, filter_hot_and_eav, filter_entities
 from quillstone.operators.paging import Page, next_rows, page_rows, page_with_total, project, sort_order
 from quillstone.operators.relations import enrich, strip_computed
 from quillstone.plans import entities as e
@@ -120,9 +120,8 @@ def filter_eav_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_hot_from_eav(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hot predicate on the hot table, an attribute-value predicate by a semi-join with its rows."""
     df = e.orders(spark, sf_dir)
-    hot, eav = layout.split_record(df, e.ORDERS)
-    rows = filter_eav_semi(hot.where("text_01 = 'F'"), eav, e.ORDERS, parse(leaf("priority", "starts_with:2-")))
-    return rows.join(df, "row_id", "left_semi").join(df.select(*_ORDER_COLUMNS), "row_id").select(*_ORDER_COLUMNS)
+    found = filter_hot_and_eav(df, layout.split_record(df, e.ORDERS)[1], e.ORDERS, parse(leaf("status", "F")), parse(leaf("priority", "starts_with:2-")))
+    return found.select(*_ORDER_COLUMNS)
 
 
 @query("filter_array_any", "SELECT md5('conversation:' || conv_id) AS row_id, conv_id FROM conversations GROUP BY conv_id HAVING bool_or(role = 'system')")
