@@ -131,9 +131,16 @@ def split(separator: str) -> Transformer:
     return apply
 
 
-def custom(fn: Callable[[Column], Column]) -> Transformer:
-    """Any function of columns, a pandas UDF included."""
-    return lambda c: _fine(fn(c))
+def custom(fn: Callable[[Column], Column], error: Callable[[Column], Column] | None = None) -> Transformer:
+    """Any function of columns, a pandas UDF included. `error` gives the message for a text, null where there is none."""
+
+    def apply(c: Column) -> Field:
+        if error is None:
+            return _fine(fn(c))
+        message = error(c)
+        return Field(F.when(message.isNull(), fn(c)), message)
+
+    return apply
 
 
 def enum(*allowed: str) -> Transformer:
@@ -148,11 +155,23 @@ def default(value: Any, inner: Transformer | None = None) -> Transformer:
         empty = F.coalesce(F.trim(c) == "", F.lit(True))
         return Field(F.when(empty, F.lit(value)).otherwise(made.value), F.when(~empty, made.error))
 
+    apply.takes_empty = True
     return apply
 
 
+def takes_empty(transformer: Transformer) -> bool:
+    """Whether a transformer gives empty texts a value of their own."""
+    return getattr(transformer, "takes_empty", False)
+
+
 def _text(change: Callable[[Column], Column], inner: Transformer | None = None) -> Transformer:
-    return lambda c: (inner or identity())(change(F.trim(c)))
+    inner = inner or identity()
+
+    def apply(c: Column) -> Field:
+        return inner(change(F.trim(c)))
+
+    apply.takes_empty = takes_empty(inner)
+    return apply
 
 
 def trim(inner: Transformer | None = None) -> Transformer:

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from quillstone.catalog import EntitySchema
 from quillstone.operators.conditions import Condition, ConditionError
 from quillstone.operators.filters import FilterOptions, filter_entities
+from quillstone.operators.relations import enrich_all
+from quillstone.sources.tables import get_entity
 
 DEFAULT_SIZE, LARGEST_SIZE = 50, 100
 
@@ -46,9 +48,24 @@ class Page:
         }
 
 
+def page_facts(df: DataFrame, page: Page) -> DataFrame:
+    """`Page.facts` of all rows of `df` as one row, by an aggregation of its own, so that no window gathers rows in one task."""
+    total = F.col("total_records")
+    pages = F.ceil(total / page.size).cast("bigint")
+    return df.agg(F.count(F.lit(1)).alias("total_records")).select(
+        total, pages.alias("total_pages"), F.lit(page.number).alias("current_page"), F.lit(page.size).alias("items_per_page"),
+        (page.number < pages).alias("has_next"), F.lit(page.number > 1).alias("has_previous"),
+    )
+
+
+def parse_names(given: Sequence[str]) -> list[str]:
+    """Names, each perhaps a comma-separated list; trimmed, empty ones left out."""
+    return [n.strip() for g in given for n in g.split(",") if n.strip()]
+
+
 def parse_sort(names: Sequence[str], order: str | None) -> tuple[list[str], str]:
     """Sort keys, each perhaps a comma-separated list, and one direction for all."""
-    keys = [k.strip() for n in names for k in n.split(",") if k.strip()]
+    keys = parse_names(names)
     if order and not keys:
         raise ConditionError("a sort order needs sort keys")
     if order not in (None, "", "asc", "desc"):
@@ -78,28 +95,24 @@ def sort_order(df: DataFrame, schema: EntitySchema, names: Iterable[str], order:
 
 
 def page_rows(df: DataFrame, order: Sequence[Column], page: Page) -> DataFrame:
-    """The rows of a page, by a top-k of offset and size."""
+    """The rows of a page, by a top-k of offset and size. Its cost grows with the offset; `next_rows` has pages at any depth."""
     return df.orderBy(*order).offset(page.offset).limit(page.size)
 
 
 def page_with_total(df: DataFrame, order: Sequence[Column], page: Page) -> DataFrame:
-    """The rows of a page with the columns total_records and total_pages, in one plan.
-
-    The total is one row that an aggregation of its own makes, so that no window gathers all rows in one task.
-    """
-    total = df.agg(F.count(F.lit(1)).alias("total_records"))
-    total = total.withColumn("total_pages", F.ceil(F.col("total_records") / page.size).cast("bigint"))
+    """The rows of a page with the columns total_records and total_pages, in one plan."""
+    total = page_facts(df, page).select("total_records", "total_pages")
     return page_rows(df, order, page).crossJoin(F.broadcast(total))  # one row
 
 
 def project(df: DataFrame, paths: Sequence[str], keep: Sequence[str] = ("row_id",)) -> DataFrame:
     """Columns and fields by dotted path, nested as they were; no path means all.
 
-    Names are trimmed, missing paths are left out, and a path does not lead into arrays. Fields that are not wanted
+    A path may be a comma-separated list. Names are trimmed, missing paths are left out, and a path does not lead into arrays. Fields that are not wanted
     are not read from Parquet.
     """
     wanted: dict = {}
-    for path in (p.strip() for p in paths):
+    for path in parse_names(paths):
         at = wanted
         for part in filter(None, path.split(".")):
             at = at.setdefault(part, {})
@@ -142,10 +155,24 @@ def query(
     attrs: Sequence[str] = (),
     options: FilterOptions = FilterOptions(),
 ) -> QueryResult:
-    """Filter, sort, page and project; the total is right on pages past the end too."""
+    """Filter, sort, page and project; the total is right on pages past the end too, and nothing is sorted for those."""
     found = filter_entities(df, schema, condition, options)
-    rows = page_rows(found, sort_order(found, schema, sort_by, order), page)
-    return QueryResult(project(rows, attrs), page.facts(found.count()))
+    total = found.count()
+    rows = page_rows(found, sort_order(found, schema, sort_by, order), page) if page.offset < total else found.limit(0)
+    return QueryResult(project(rows, attrs), page.facts(total))
+
+
+class NotFound(LookupError):
+    """There is no entity with the id that was asked for."""
+
+
+def get(df: DataFrame, schema: EntitySchema, row_id: str, parents: dict[str, DataFrame] | None = None, attrs: Sequence[str] = ()) -> DataFrame:
+    """The entity with a row id, its relations computed from parent tables by name, and projected. `NotFound` if there is none."""
+    found = get_entity(df, row_id)
+    if found.isEmpty():
+        raise NotFound(f"no {schema.name} with row id {row_id}")
+    asked = parse_names(attrs)
+    return project(enrich_all(found, schema, parents or {}, asked), asked)
 
 
 def next_rows(df: DataFrame, schema: EntitySchema, name: str, after: tuple | None, size: int) -> DataFrame:

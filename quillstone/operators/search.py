@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog import EntitySchema
 from quillstone.operators.conditions import Condition
 from quillstone.operators.filters import any_value, filter_entities
-from quillstone.operators.paging import Page
+from quillstone.operators.paging import Page, parse_names
 
 
 def has_term(df: DataFrame, schema: EntitySchema, term: str) -> Column:
@@ -26,7 +27,7 @@ def has_term(df: DataFrame, schema: EntitySchema, term: str) -> Column:
 
 def parse_schemas(given: Sequence[str]) -> list[str]:
     """Schema names, each perhaps a comma-separated list; order is kept, repeats go."""
-    return list(dict.fromkeys(n.strip() for g in given for n in g.split(",") if n.strip()))
+    return list(dict.fromkeys(parse_names(given)))
 
 
 def search_all(sources: Sequence[tuple[EntitySchema, DataFrame]], condition: Condition | None = None, term: str | None = None) -> DataFrame:
@@ -48,3 +49,22 @@ def search_totals(found: DataFrame) -> DataFrame:
 def search_page(found: DataFrame, page: Page) -> DataFrame:
     """A page over all types, in the order of the request and then of the row id, across type boundaries."""
     return found.orderBy("schema_ord", "row_id").offset(page.offset).limit(page.size)
+
+
+@dataclass(frozen=True)
+class SearchResult:
+    """A page of a search, facts of all of it, and the matches of each type that has some."""
+
+    data: DataFrame
+    facts: dict[str, int | bool]
+    totals: dict[str, int]
+
+
+def search_entities(
+    sources: Sequence[tuple[EntitySchema, DataFrame]], condition: Condition | None = None, term: str | None = None, page: Page = Page()
+) -> SearchResult:
+    """Search several types at once: page, facts and totals. What comes to the driver is a count for each type."""
+    found = search_all(sources, condition, term)
+    totals = {r["schema_name"]: r["total"] for r in search_totals(found).collect()}
+    facts = page.facts(sum(totals.values()))
+    return SearchResult(search_page(found, page) if page.offset < facts["total_records"] else found.limit(0), facts, totals)

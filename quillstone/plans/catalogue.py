@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from quillstone.catalog import Relation, allocate, leaves
 from quillstone.functions import convert
 from quillstone.functions import fields as ff
-from quillstone.operators import changes, layout, search, validation
+from quillstone.operators import changes, layout, paging, search, validation
 from quillstone.operators.conditions import parse
 from quillstone.operators.filters import FilterOptions, filter_eav, filter_eav_semi, filter_hot_and_eav, filter_entities
-from quillstone.operators.paging import Page, next_rows, page_rows, page_with_total, project, sort_order
+from quillstone.operators.paging import Page, next_rows, page_facts, page_rows, page_with_total, project, sort_order
 from quillstone.operators.relations import enrich, strip_computed
 from quillstone.plans import entities as e
-from quillstone.sources.csv import Mapper, import_rows
+from quillstone.sources.csv import Mapper, import_rows, watch_mapper
+from quillstone.sources.tables import get_entity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -173,13 +174,50 @@ def paged(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT n AS total_records, ceil(n / 10)::BIGINT AS total_pages, 3 AS current_page, 10 AS items_per_page, 3 < ceil(n / 10) AS has_next, true AS has_previous
 FROM (SELECT count(*) AS n FROM orders WHERE {_TREE_SQL})""")
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = filter_entities(e.orders(spark, sf_dir), e.ORDERS, parse(_TREE))
-    n, page = F.col("total_records"), Page(3, 10)
-    pages = F.ceil(n / page.size).cast("bigint")
-    return found.agg(F.count(F.lit(1)).alias("total_records")).select(
-        n, pages.alias("total_pages"), F.lit(page.number).alias("current_page"), F.lit(page.size).alias("items_per_page"),
-        (page.number < pages).alias("has_next"), F.lit(page.number > 1).alias("has_previous"),
-    )
+    return page_facts(filter_entities(e.orders(spark, sf_dir), e.ORDERS, parse(_TREE)), Page(3, 10))
+
+
+@query("query_whole", f"""
+SELECT row_id, orderkey, status, 3 AS page, (SELECT count(*) FROM orders WHERE {_TREE_SQL}) AS total
+FROM ({_ORDERS}, o_orderdate AS d FROM orders WHERE {_TREE_SQL}) ORDER BY d DESC NULLS FIRST, row_id LIMIT 20 OFFSET 40""")
+def query_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry point of a user: condition, sort, page and comma-separated projection in one call."""
+    found = paging.query(e.orders(spark, sf_dir), e.ORDERS, parse(_TREE), ["orderdate"], "desc", Page.of(3, 20), ["orderkey, status"])
+    return found.data.withColumns({"page": F.lit(found.facts["current_page"]), "total": F.lit(found.facts["total_records"])})
+
+
+@query("query_past_end", f"SELECT orderkey, (SELECT count(*) FROM orders) AS total FROM ({_ORDERS} FROM orders) WHERE false")
+def query_past_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paging.query(e.orders(spark, sf_dir), e.ORDERS, page=Page.of(1_000_000, 1000), attrs=["orderkey"])
+    return found.data.select("orderkey", F.lit(found.facts["total_records"]).alias("total"))
+
+
+@query("get_enriched", """
+SELECT md5('orders:' || o_orderkey) AS row_id, o_orderkey AS orderkey, c_name AS customer_name
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)""")
+def get_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One entity by its id, with its relation and a projection."""
+    df = e.orders(spark, sf_dir)
+    one = df.agg(F.min_by("row_id", "orderkey")).first()[0]
+    found = paging.get(df, e.ORDERS, one, {"customer": e.customers(spark, sf_dir)}, ["orderkey,customer.name"])
+    return found.select("row_id", "orderkey", F.col("customer.name").alias("customer_name"))
+
+
+@query("get_hot_row", "SELECT 100 AS schema_id, md5('orders:' || o_orderkey) AS row_id, o_orderkey AS bigint_01, o_orderstatus AS text_01 FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def get_hot_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = e.orders(spark, sf_dir)
+    one = df.agg(F.max_by("row_id", "orderkey")).first()[0]
+    return get_entity(layout.to_hot(df, e.ORDERS), one).select("schema_id", "row_id", "bigint_01", "text_01")
+
+
+@query("get_eav_rows", """
+SELECT md5('conversation:' || conv_id) AS row_id, 1 + count(*) + count(*) + count(text) AS entries, max(turn)::DOUBLE AS last_turn FROM conversations
+WHERE conv_id = (SELECT max(conv_id) FROM conversations) GROUP BY conv_id""")
+def get_eav_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = e.conversations(spark, sf_dir)
+    one = df.agg(F.max_by("row_id", "conv_id")).first()[0]
+    last = F.max(F.when(F.col("attr_id") == e.CONVERSATION.attribute("turns.turn").id, F.col("value_numeric"))).alias("last_turn")
+    return get_entity(layout.to_eav(df, e.CONVERSATION), one).groupBy("row_id").agg(F.count(F.lit(1)).alias("entries"), last)
 
 
 @query("page_past_end_total", "SELECT count(*) AS total_records, 0::BIGINT AS page_rows FROM orders WHERE o_orderstatus = 'P'")
@@ -285,6 +323,16 @@ def cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("schema_ord", "schema_name", "row_id")
 
 
+@query("cross_schema_whole", f"""
+WITH f AS (SELECT * FROM ({_BOTH_TYPES}) WHERE acctbal > 5000)
+SELECT schema_name, row_id, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f WHERE schema_ord = 1) AS suppliers
+FROM f ORDER BY schema_ord, row_id LIMIT 30 OFFSET 30""")
+def cross_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search_entities(_sources(spark, sf_dir), parse(leaf("acctbal", "gt:5000")), page=Page.of(2, 30))
+    counts = {"total": found.facts["total_records"], "suppliers": found.totals.get("supplier", 0)}
+    return found.data.select("schema_name", "row_id", *(F.lit(n).alias(k) for k, n in counts.items()))
+
+
 # J: layouts
 _ORDERS_EAV = f"""
 WITH o AS ({_FULL})
@@ -365,6 +413,16 @@ def eav_json_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", F.size("body").cast("bigint").alias("entries"), F.col("body")[0]["value_numeric"].alias("first_value"))
 
 
+@query("eav_json_text", """
+SELECT md5('orders:' || o_orderkey) AS row_id, '[' || concat_ws(',', {n}, {t}, {d}) || ']' AS attributes FROM orders""".format(
+    n="""'{"attr_id":1,"array_indices":"","value_text":null,"value_numeric":' || o_orderkey::DOUBLE || '}'""",
+    t="""'{"attr_id":3,"array_indices":"","value_text":"' || o_orderstatus || '","value_numeric":null}'""",
+    d="""'{"attr_id":6,"array_indices":"","value_text":"' || o_orderpriority || '","value_numeric":null}'"""))
+def eav_json_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole JSON text, in order."""
+    return layout.eav_json(layout.to_eav(e.orders(spark, sf_dir), e.ORDERS).where("attr_id IN (1, 3, 6)"))
+
+
 # M: changes
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as versions of their customer's last order: a row for each customer, in several versions."""
@@ -422,6 +480,23 @@ def apply_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.delete(df, df.where("status = 'P'")).accepted.select(*_ORDER_COLUMNS)
 
 
+@query("update_rejects", "SELECT md5('orders:-' || c_custkey) AS row_id, 'UPDATE_FAILED' AS code, 'no such row' AS message FROM customer WHERE c_custkey % 10 = 0")
+def update_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = e.orders(spark, sf_dir).withColumns({"created_at": F.lit(0), "updated_at": F.lit(0)})
+    absent = F.md5(F.concat(F.lit("orders:-"), F.col("custkey").cast("string"))).alias("row_id")
+    patch = (F.lit('{"status": "X"}').alias("patch"), F.lit(1).alias("changed_at"))
+    patches = e.customers(spark, sf_dir).where("custkey % 10 = 0").select(absent, *patch).union(base.where("status = 'P'").select("row_id", *patch))
+    return changes.update(base, patches, e.ORDERS).rejected
+
+
+@query("delete_rejects", "SELECT md5('orders:-' || c_custkey) AS row_id, 'DELETE_FAILED' AS code, 'no such row' AS message FROM customer WHERE c_custkey % 10 = 0")
+def delete_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = e.orders(spark, sf_dir)
+    absent = F.md5(F.concat(F.lit("orders:-"), F.col("custkey").cast("string"))).alias("row_id")
+    ids = e.customers(spark, sf_dir).where("custkey % 10 = 0").select(absent).union(base.where("status = 'P'").select("row_id"))
+    return changes.delete(base, ids).rejected
+
+
 @query("batch_partial_failure", "SELECT md5('orders:' || o_orderkey) AS row_id, 'CREATE_FAILED' AS code, 'missing required: custkey' AS message FROM orders WHERE o_orderstatus = 'P'")
 def batch_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = e.orders(spark, sf_dir).withColumn("custkey", F.when(F.col("status") != "P", F.col("custkey")))
@@ -499,7 +574,45 @@ def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _imported(spark, sf_dir).counts()
 
 
+@query("ingest_watches", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey * 10)::DOUBLE END AS price, 1950 + o_orderkey % 60 AS year, o_orderkey % 2 = 0 AS approximate,
+       (20 + o_orderkey % 30)::DOUBLE AS width FROM orders WHERE o_orderkey % 11 <> 0""")
+def ingest_watches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("orderkey")
+    text = k.cast("string")
+    cells = {
+        "id": text, "name": F.when(k % 11 != 0, F.concat(F.lit("watch "), text)), "brand": F.lit("none"),
+        "price": F.when(k % 3 == 0, F.concat(F.lit("$"), F.format_number(k * 10, 0))).otherwise("Price on request"),
+        "yop": F.concat((1950 + k % 60).cast("string"), F.when(k % 2 == 0, " (Approximation)").otherwise("")),
+        "size": F.concat((20 + k % 30).cast("string"), F.lit(" mm")),
+    }
+    rows = e.orders(spark, sf_dir).select(*(c.alias(n) for n, c in cells.items()))
+    year = F.col("yearOfProduction")
+    return import_rows(rows, watch_mapper()).rows.select(
+        "id", F.col("price.value").alias("price"), year["year"].alias("year"), year["approximate"].alias("approximate"), F.col("size.width").alias("width")
+    )
+
+
 # K: conversions
+@query("convert_literals", """
+SELECT o_orderkey AS orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS whole, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey + 0.5::DOUBLE END AS real,
+       CASE WHEN o_orderkey % 3 = 2 THEN 'x' || o_orderkey END AS text, o_orderkey % 3 < 2 AND o_orderkey > 0 AS truth, o_orderkey::VARCHAR AS key_text FROM orders""")
+def convert_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("orderkey").cast("string")
+    shown = F.when(F.col("orderkey") % 3 == 0, key).when(F.col("orderkey") % 3 == 1, F.concat(key, F.lit(".5"))).otherwise(F.concat(F.lit("x"), key))
+    return e.orders(spark, sf_dir).select(
+        "orderkey", convert.parse_number(shown).alias("n"), convert.to_bool_strict(shown).alias("truth"), convert.to_text(F.col("orderkey")).alias("key_text")
+    ).select("orderkey", "n.*", "truth", "key_text")
+
+
+@query("uuid7_of_given", """
+SELECT row_id, lower(substr(t, 1, 8) || '-' || substr(t, 9, 4) || '-7' || substr(row_id, 1, 3) || '-' || v || substr(row_id, 5, 3) || '-' || substr(row_id, 8, 12)) AS id
+FROM (SELECT row_id, lpad(to_hex(epoch_ms(d)), 12, '0') AS t, substr('89ab89ab89ab89ab', ('0x' || substr(row_id, 4, 1))::INT + 1, 1) AS v
+      FROM (SELECT md5('orders:' || o_orderkey) AS row_id, o_orderdate::TIMESTAMP AS d FROM orders))""")
+def uuid7_of_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e.orders(spark, sf_dir).select("row_id", convert.uuid7(F.unix_millis("orderdate"), F.col("row_id")).alias("id"))
+
+
 @query("convert_scalars", """
 SELECT o_orderkey AS orderkey, o_orderkey::DOUBLE AS number, o_orderkey % 2 = 1 AS truth, strftime(o_orderdate, '%Y-%m-%d') AS from_millis, strftime(o_orderdate, '%Y-%m-01') AS from_month,
        lower(substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12)) AS uuid

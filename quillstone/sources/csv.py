@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.functions import fields as ff
 
@@ -49,11 +50,19 @@ class Imported:
         )
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str = ",", comment: str | None = None) -> DataFrame:
-    """All columns as texts. Quoted cells may hold line breaks and doubled quotes; blanks before a cell are dropped."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-    reader = reader.option("ignoreLeadingWhiteSpace", True).option("sep", delimiter).option("mode", "PERMISSIVE")
-    return (reader.option("comment", comment) if comment else reader).csv(path)
+#: Column with the text of a record that has more or fewer cells than the header.
+MALFORMED = "_malformed"
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str = ",", comment: str | None = None, multi_line: bool = True) -> DataFrame:
+    """All columns as texts, and `MALFORMED`. Quoted cells may hold doubled quotes; blanks before a cell are dropped.
+
+    With `multi_line` cells may hold line breaks, and a file is read by one task; without, large files are split.
+    """
+    options = {"header": True, "multiLine": multi_line, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "sep": delimiter}
+    reader = spark.read.options(**options, **({"comment": comment} if comment else {}))
+    kind = T.StructType([*reader.csv(path).schema, T.StructField(MALFORMED, T.StringType())])
+    return reader.option("columnNameOfCorruptRecord", MALFORMED).schema(kind).csv(path)
 
 
 def path_parts(path: str) -> list[str | int]:
@@ -79,7 +88,11 @@ def _tree(values: list[tuple[list[str | int], Column]]) -> Column:
 
 
 def import_rows(rows: DataFrame, mapper: Mapper, row_number: Column | None = None) -> Imported:
-    """Map rows in one pass. The first failing field of a row is its error: row, column, path, value, reason."""
+    """Map rows in one pass. The first failing field of a row is its error: row, column, path, value, reason.
+
+    A record that `read_csv` marks as malformed is an error of its own. Without `row_number` rows are numbered as they are
+    read, from 1 in each partition's range: as in the file, if one task reads one file.
+    """
     made = []
     for one in mapper.mappings:
         source = F.col(f"`{one.column}`") if one.column in rows.columns else F.lit(None).cast("string")
@@ -88,14 +101,18 @@ def import_rows(rows: DataFrame, mapper: Mapper, row_number: Column | None = Non
         if one.required:
             missing = F.when(F.trim(text) == "", F.lit("required value is missing"))
             found = ff.Field(found.value, F.coalesce(missing, found.error))
-        value = found.value if one.transformer.__qualname__.startswith("default.") else F.when(F.trim(text) != "", found.value)
+        value = found.value if ff.takes_empty(one.transformer) else F.when(F.trim(text) != "", found.value)
         made.append((one, source, ff.Field(value, found.error)))
     number = F.monotonically_increasing_id() + 1 if row_number is None else row_number
     tops: dict[str, list] = {}
     for one, _, found in made:
         head, *rest = path_parts(one.path)
         tops.setdefault(str(head), []).append((rest, found.value))
-    error = ff.first_error([(m.column, m.path, s, f) for m, s, f in made])
+    fields = [(m.column, m.path, s, f) for m, s, f in made]
+    if MALFORMED in rows.columns:
+        record = F.col(MALFORMED)
+        fields.insert(0, ("", "", record, ff.Field(record, F.when(record.isNotNull(), F.lit("malformed record")))))
+    error = ff.first_error(fields)
     mapped = rows.select(number.alias("row"), error.alias("error"), *(_tree(v).alias(k) for k, v in tops.items()))
     good = mapped.where(F.col("error").isNull()).drop("error")
     bad = mapped.where(F.col("error").isNotNull()).select("row", "error.*")

@@ -9,15 +9,17 @@ from quillstone.plans import entities as e
 from quillstone.sources.csv import Mapper, import_rows, path_parts, read_csv, watch_mapper
 from quillstone.sources.tables import get_entity, read_entities, read_layout, write_entities, write_layout
 from quillstone.operators import layout
+from quillstone.operators.paging import NotFound, get
 from quillstone.streaming.change_log import change_counts, compact_stream, compacted, read_log
 
 WATCHES = '''id,name,price,brand,model,ref,mvmt,casem,bracem,yop,cond,sex,size,condition
-0,"Royal
-'25th'","$43,500",AP,Oak,26237,,,,2019,Unworn,Unisex,42 mm,
-1,"Tank ""S""",Price on request,Cartier,Tank,W1,Quartz,Steel,,1998 (Approximation),Good,,22 x 30 mm,
+7,"Tide
+No. 3","$6,150",Quell,Ebb,Q-3,,,,2011,Unworn,Unisex,39 mm,
+8,"Slate ""II""",Price on request,Marrow,Slate,M2,Quartz,Steel,,1977 (Approximation),Good,,24 x 31 mm,
 x,Broken,1,B,,,,,,,,,,
 3,,1,B,,,,,,,,,,
 4,Odd,1,B,,,,,,1800,Mint,,wide,
+5,Short,1
 '''
 
 
@@ -25,12 +27,25 @@ def test_watch_list(spark, tmp_path):
     (tmp_path / "w.csv").write_text(WATCHES)
     done = import_rows(read_csv(spark, str(tmp_path / "w.csv")), watch_mapper())
     rows = {r["id"]: r.asDict(True) for r in done.rows.collect()}
-    assert rows[0]["name"] == "Royal\n'25th'" and rows[0]["price"] == {"value": 43500.0, "display": "$43,500"} and rows[0]["size"] == {"width": 42.0, "height": None}
-    assert rows[1]["name"] == 'Tank "S"' and rows[1]["price"]["value"] is None and rows[1]["yearOfProduction"] == {"year": 1998, "approximate": True}
-    assert rows[1]["size"] == {"width": 22.0, "height": 30.0} and rows[1]["material"]["case"] == "Steel"
+    assert rows[7]["name"] == "Tide\nNo. 3" and rows[7]["price"] == {"value": 6150.0, "display": "$6,150"} and rows[7]["size"] == {"width": 39.0, "height": None}
+    assert rows[8]["name"] == 'Slate "II"' and rows[8]["price"]["value"] is None and rows[8]["yearOfProduction"] == {"year": 1977, "approximate": True}
+    assert rows[8]["size"] == {"width": 24.0, "height": 31.0} and rows[8]["material"]["case"] == "Steel"
     errors = {r["row"]: (r["column"], r["reason"]) for r in done.errors.collect()}
-    assert errors == {3: ("id", "invalid int: x"), 4: ("name", "required value is missing"), 5: ("yop", "year out of range: 1800")}
-    assert done.counts().first() == (5, 2, 3)
+    assert errors == {3: ("id", "invalid int: x"), 4: ("name", "required value is missing"), 5: ("yop", "year out of range: 1800"), 6: ("", "malformed record")}
+    assert done.counts().first() == (6, 2, 4)
+
+
+def test_empty_cells_and_errors_of_custom_transformers(spark):
+    rows = spark.createDataFrame([(" ", "2"), ("", "odd")], "a string, b string")
+    even = ff.custom(lambda c: c.try_cast("int"), lambda c: F.when(~c.rlike("^[0-9]+$"), F.concat(F.lit("not a count: "), c)))
+    made = import_rows(rows, Mapper("t").map("a", "a", ff.trim(ff.default("none"))).map("b", "b", even))
+    assert [r[1:] for r in made.rows.collect()] == [("none", 2)]
+    assert [(r["column"], r["reason"]) for r in made.errors.collect()] == [("b", "not a count: odd")]
+
+
+def test_get_of_a_row_that_is_not_there(spark, sf_dir):
+    with pytest.raises(NotFound):
+        get(e.orders(spark, sf_dir), e.ORDERS, "nothing")
 
 
 def test_paths_and_arrays(spark):
