@@ -2,7 +2,9 @@
 
 A text is the set of its word shingles, and its fingerprint 256 bits of SimHash over that set. The trie walk of
 `near_dedup` runs from 32 places of the fingerprint, with a budget that grows with the depth, and joins candidates into
-clumps. Inside a clump all pairs whose fingerprints are near are compared as whole sets, unless links join them already.
+clumps. Inside a clump pairs whose fingerprints are near are compared as whole sets, unless links join them already: first
+in small parts, to each of which the clump's head is added, so that a large group of copies becomes one component without
+all its pairs; then texts that are not linked to the head with all others of their clump.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import few, save
@@ -30,8 +32,10 @@ def _allowed(steps: tuple[tuple[int, int], ...]) -> tuple[int, ...]:
 #: At a similarity of 0.8 some 15 % of the bits differ: 39 of 256, and over 62 in one pair of twenty thousand. By simulation of
 #: independent bits one trie or another leads to 98.5 % of pairs at exactly 0.8, 99.8 % at 0.85 and all at 0.9.
 TRIES = Tries(tuple(range(0, 256, 8)), _allowed(((8, 0), (15, 1), (22, 2), (27, 4), (32, 6), (40, 9), (48, 12), (64, 17))), 62)
-#: Texts, and characters of text, that one part of a clump has about; pairs of parts are compared in one task.
-PART_TEXTS, PART_CHARACTERS = 2048, 1 << 25
+#: Texts that a part of a clump has about: one that is compared with itself and the head, and one of a pair of parts.
+FIRST_TEXTS, PART_TEXTS = 128, 2048
+#: Characters of text that a part has about.
+PART_CHARACTERS = 1 << 25
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -61,7 +65,8 @@ def set_links(sets: list[np.ndarray], words: np.ndarray, mid: int, least: float,
     """What links at `least` or more connect, as stars (i, centre), between the first `mid` sets and the others, or between all
     if mid is their number.
 
-    Only pairs within `budget` bits are compared, and not those that links found so far connect.
+    Only pairs within `budget` bits are compared, and not those that links found so far connect. The centre of a star is its
+    first set.
     """
     up = list(range(len(sets)))
 
@@ -78,7 +83,7 @@ def set_links(sets: list[np.ndarray], words: np.ndarray, mid: int, least: float,
         for j in (np.flatnonzero(near) + start).tolist():
             a, b = root(i), root(j)
             if a != b and jaccard(sets[i], sets[j]) >= least:
-                up[a] = b
+                up[max(a, b)] = min(a, b)
     leaves = [k for k in range(len(sets)) if root(k) != k]
     return leaves, [root(k) for k in leaves]
 
@@ -108,19 +113,45 @@ def _compare(least: float, shingle: int, budget: int):
     return whole_groups(links, ("clump", "lo", "hi"))
 
 
+def _parts(texts: int) -> Column:
+    """Parts of some `texts` texts that the texts of a group make."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / texts, F.sum(F.length("text")) / PART_CHARACTERS)).cast("int")
+
+
 def _verified(clumps: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Links between the texts of each clump (key, clump); `texts` has key, words and text."""
-    members = save(texts.join(few(clumps), "key"), "members")
-    sizes = members.groupBy("clump").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters"))
-    parts = F.ceil(F.greatest(F.col("n") / PART_TEXTS, F.col("characters") / PART_CHARACTERS)).cast("int")
-    large = save(sizes.select("clump", parts.alias("parts")).where("parts > 1"), "large")
-    dealt = members.join(few(large), "clump", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    """Links between the texts of each clump (key, clump); `texts` has key, words and text.
+
+    The head of a clump is its least key. Of texts linked to it no pair need be compared any more.
+    """
     names = ["clump", "lo", "hi", "side", "key", *(f"w{k}" for k in range(WORDS)), "text"]
-    dealt = dealt.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
-    dealt = dealt.select(*names).repartition("clump", "lo", "hi").sortWithinPartitions("clump", "lo", "hi")
-    return dealt.mapInArrow(_compare(least, shingle, TRIES.budget), "src long, dst long")
+    one = F.lit(1)
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select(*names).repartition("clump", "lo", "hi").sortWithinPartitions("clump", "lo", "hi")
+        return dealt.mapInArrow(_compare(least, shingle, TRIES.budget), "src long, dst long")
+
+    members = save(texts.join(few(clumps), "key"), "members")
+    heads = members.groupBy("clump").agg(F.min("key").alias("head"), _parts(FIRST_TEXTS).alias("parts"))
+    large = save(heads.where("parts > 1"), "large")
+    dealt = members.join(few(large), "clump", "left").withColumn("parts", F.coalesce("parts", one))
+    is_head = F.coalesce(F.col("key") == F.col("head"), F.lit(False))
+    part = F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int")
+    dealt = dealt.withColumn("lo", F.explode(F.when(is_head, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(part))))
+    first = save(compared(dealt.withColumns({"hi": F.col("lo"), "side": F.when(is_head, -1).otherwise(0)})), "first")
+    if large.isEmpty():
+        return first
+    home = first.join(few(large.select(F.col("head").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("key"))
+    inside = members.join(few(large.select("clump", "head")), "clump").join(home.withColumn("home", F.lit(True)), "key", "left")
+    inside = save(inside.withColumn("home", F.coalesce("home", F.col("key") == F.col("head"))), "inside")
+    away = inside.where(~F.col("home")).groupBy("clump").agg(_parts(PART_TEXTS).alias("away"))
+    sizes = save(away.join(inside.where("home").groupBy("clump").agg(_parts(PART_TEXTS).alias("near")), "clump"), "sizes")
+    # Parts of texts away from the head come first and meet all parts; those of the others meet only them.
+    dealt, salt = inside.join(few(sizes), "clump"), F.xxhash64("key", F.lit(11))
+    part = F.when(F.col("home"), F.col("away") + F.pmod(salt, F.col("near"))).otherwise(F.pmod(salt, F.col("away"))).cast("int")
+    beside = F.when(F.col("home"), F.col("away")).otherwise(F.col("away") + F.col("near"))
+    dealt = dealt.withColumns({"part": part, "other": F.explode(F.sequence(F.lit(0), beside - 1))})
+    meet = {"lo": F.least("part", "other"), "hi": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")}
+    return first.union(compared(dealt.withColumns(meet)))
 
 
 def similar_documents(

@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
+import pytest
 
+from quillstone.llm import similar
 from quillstone.llm.similar import similar_documents
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -48,6 +50,24 @@ def test_near_dedup_stage_is_jaccard_of_five_words(spark):
     assert {r["doc_id"]: r["component_id"] for r in similar_documents(docs).collect()} == wanted
 
 
+@pytest.mark.parametrize("first, part", [(8, 2048), (4, 6)])
+def test_large_clumps_lose_no_link(first, part, spark, monkeypatch):
+    """Clumps of many parts, chains of copies that the head does not reach among them."""
+    monkeypatch.setattr(similar, "FIRST_TEXTS", first)
+    monkeypatch.setattr(similar, "PART_TEXTS", part)
+    draw, texts = random.Random(3), list(_corpus().values())
+    chain = [f"c{k}" for k in range(200)]
+    for _ in range(60):
+        chain = list(chain)
+        for at in draw.sample(range(200), 4):
+            chain[at] = f"d{draw.randrange(9000)}"
+        texts.append(" ".join(chain))
+    draw.shuffle(texts)
+    wanted = components_by_pairs(dict(enumerate(texts)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"]: r["component_id"] for r in similar_documents(docs).collect()} == wanted
+
+
 def test_similar_documents_edges(spark):
     rows = [(3, None), (2, ""), (5, "one two"), (4, "One  TWO"), (None, "one two"), (6, "one two three"), (6, "one two three"), (7, "a b c d e")]
     found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
