@@ -10,24 +10,29 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.bpe import WordBpe, _config, _loaded, encode_texts
+from quillstone.llm.bpe import WordBpe, _config, _loaded, as_lists, pieces_of
 from quillstone.llm.common import save, shared_folder
 
 # Fixed values of the seekable zstandard format: magic numbers of skippable frames and of the table's footer.
 _SKIPPABLE, _TABLE, _FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _ENTRY, _END = struct.Struct("<III"), struct.Struct("<IBI")
 _CHECKSUMS = 0x80
+#: Bytes of text that are encoded together; one text more at most.
+_TOGETHER = 8 << 20
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -103,7 +108,7 @@ class LibraryBpe(WordBpe):
     and takes a third longer.
     """
 
-    remembered = 600_000  # the library takes longer for a word than it costs to remember more of them
+    remembered = 800_000  # the library takes longer for a word than it costs to remember more of them
 
     def __init__(self, config: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,10 +116,57 @@ class LibraryBpe(WordBpe):
 
         super().__init__(config)
         self.model = Tokenizer.from_str(config).model
+        self.cut = regex.compile(f"{self.words.pattern}|\n")
+        # A line break ends a part of a text; with one before it, an added token is no word.
+        self.marked = {"\n": b"", **{f"\n{mark}": k.to_bytes(4, "little") for mark, k in self.added.items()}}
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         return [[token.id for token in self.model.tokenize(word)] for word in map(self.spelling, words)]
 
+    def _words(self, lines: str) -> list[str]:
+        """Normalised words, added tokens and line breaks of parts of texts that are lines."""
+        words: list[str] = []
+        for run in self.marks.split(lines) if self.marks else (lines,):
+            if run in self.added:
+                words.append(f"\n{run}")
+            else:
+                run = run if run.isascii() else unicodedata.normalize("NFC", run).replace("Σ", "σ")
+                words += self.cut.findall(run.lower())
+        return words
+
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """Tokens of texts, as `encode_texts` gives them: each part of a text between white space is cut into words once,
+        each word looked up once."""
+        texts = texts.fill_null("")
+        if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
+            split = pa.array(map(pieces_of, texts.to_pylist()), pa.list_(pa.string()))
+        else:
+            split = pc.utf8_split_whitespace(texts)  # parts may be empty and have no tokens then
+        at = split.flatten().dictionary_encode()
+        lines = "\n".join([*at.dictionary.to_numpy(zero_copy_only=False), ""])
+        words = pa.array(self._words(lines), pa.string()).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.known.update(self.marked)
+        own = list(map(self.known.get, names))
+        fresh = [k for k, ids in enumerate(own) if ids is None]
+        for k, ids in zip(fresh, self.encode_words([names[k] for k in fresh])):
+            own[k] = self.known[names[k]] = np.array(ids, "<u4").tobytes()
+        if len(self.known) > self.remembered:
+            self.known = dict(zip(names, own))
+        tokens = as_lists(own).take(words.indices)
+        ends = np.flatnonzero(words.indices.to_numpy() == words.dictionary.index("\n").as_py())
+        parts = pa.ListArray.from_arrays(np.append(0, tokens.offsets.to_numpy()[ends]).astype(np.int32), tokens.values)
+        found = parts.take(at.indices)
+        offsets = split.offsets.to_numpy()
+        return pa.ListArray.from_arrays(found.offsets.to_numpy()[offsets - offsets[0]], found.values)
+
+
+def _together(texts: pa.Array) -> Iterator[slice]:
+    """Rows that are encoded together."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = sorted({0, *(np.flatnonzero(np.diff(size // _TOGETHER)) + 1).tolist(), len(size)})
+    yield from map(slice, cuts, cuts[1:])
+
 
 def write_token_files(
     docs: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2
@@ -122,8 +174,8 @@ def write_token_files(
     """Encode whole texts with the tokenizers library and write them in ascending order of id.
 
     Rows are dealt out by ranges of the id, and each task writes one file to `folder` (by default in the shared
-    folder). Words are encoded once and remembered, since no token of the supported tokenizers reaches over one; very long
-    texts are encoded whole. `end_id` ends each document. The result is the
+    folder). Words are encoded once and remembered, since no token of the supported tokenizers reaches over one; a task
+    encodes some megabytes of text together, and very long texts whole. `end_id` ends each document. The result is the
     manifest, a saved table with a row a file: part, path, docs, tokens, start (ids in all files before). A task that
     runs again writes a file of another name, and only the one that counts is in the manifest. Null ids come first,
     ties are ordered by text; null texts count as empty; an empty table gives an empty manifest.
@@ -134,18 +186,19 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, memory = _loaded("library", config.value, LibraryBpe)
-        end = np.array([end_id], "<u4").tobytes()
+        bpe, _ = _loaded("library", config.value, LibraryBpe)
         part, writer = TaskContext.get().partitionId(), None
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for k in range(0, len(ids), 256):
+            for rows in _together(batch.column(1)):
                 if writer is None:
                     name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.ids.zst"
                     writer = TokenWriter(name, width=2 if max(*bpe.spelt, end_id) < 1 << 16 else 4)
-                found = encode_texts(texts.slice(k, 256).to_pylist(), bpe.encode_pieces, memory, bpe.remembered)
-                for doc_id, own in zip(ids.slice(k, 256).to_pylist(), found):
-                    writer.add(doc_id, np.frombuffer(own + end, "<u4"))
+                found = bpe.encode_column(batch.column(1)[rows])
+                ends = found.offsets.to_numpy()[1:]
+                tokens = np.insert(found.values.to_numpy().astype(writer.dtype), ends, end_id)
+                ends = ends + np.arange(1, len(ends) + 1)
+                for doc_id, a, b in zip(batch.column(0)[rows].to_pylist(), [0, *ends.tolist()], ends.tolist()):
+                    writer.add(doc_id, tokens[a:b])
         if writer is not None:
             writer.close()
             row = [[part], [name], [len(writer.ids)], [writer.tokens]]

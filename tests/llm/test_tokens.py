@@ -4,13 +4,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillstone.llm.bpe import WordBpe, decode, encode, encode_texts, tokenise
+from quillstone.llm import token_files
+from quillstone.llm.bpe import WordBpe, decode, encode, encode_texts, pieces_of, tokenise
 from quillstone.llm.queries import op7_bpe, op10_token_files
 from quillstone.llm.token_files import LibraryBpe, TokenReader, TokenWriter, read_token_files, write_token_files
 
@@ -130,3 +133,45 @@ def test_a_batch_without_new_words():
     once = encode_texts(["Well known words"], OWN.encode_pieces, memory)
     memory.clear()
     assert encode_texts(["Well known words"], OWN.encode_pieces, memory) == once and OWN.encode_words([]) == []
+
+
+def test_a_column_is_encoded_as_the_library_does_its_texts():
+    marked = ["<|endoftext|>x<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext|", "e<|endoftext|>\u0301", "\n<|endoftext|>\n"]
+    texts = ["", None, "  ", " \ta\r\n b\u2028c\x85d\u3000", "don't WE'LL I'm", "a</w>b", "ΑΣ ΑΣΑ Σ", "e\u0301İ ﬁ", *marked, "z" * 3000]
+    for given in (texts, [*texts, "a\x1cb \x1f c"], [None], ["", " "], []):
+        wanted = [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in given]
+        column = pa.array(["cut off", *given], pa.string())[1:]
+        assert WORDS.encode_column(column).to_pylist() == wanted and WORDS.encode_column(column).to_pylist() == wanted
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(SOLID), max_size=30), max_size=5))
+def test_any_column(texts):
+    wanted = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert WORDS.encode_column(pa.array(texts, pa.string())).to_pylist() == wanted
+
+
+def test_white_space_parts_a_column_as_it_does_a_text():
+    texts = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not 0x1C <= c < 0x20]
+    parts = pc.list_value_length(pc.utf8_split_whitespace(pa.array(texts))).to_pylist()
+    assert [n > 1 for n in parts] == [len(pieces_of(t)) > 1 for t in texts]
+
+
+def test_words_meet_the_library_once_in_a_column():
+    bpe, seen = LibraryBpe(open(PATH, encoding="utf-8").read()), []
+    encode, bpe.remembered = bpe.encode_words, 0
+    bpe.encode_words = lambda words: seen.extend(words) or encode(words)
+    texts = pa.array([f"Plain WORDS, {k % 7}" for k in range(2000)])
+    assert len(set(map(str, bpe.encode_column(texts)))) == 7
+    assert sorted(seen) == sorted(["plain", "words", ",", *"0123456"])  # parts of 256 texts would meet them eight times
+    bpe.encode_column(pa.array(["other"]))
+    assert "other" in bpe.known and "plain" not in bpe.known  # no more is remembered than the last column's words
+
+
+def test_texts_encoded_together_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "_TOGETHER", 10)
+    texts = pa.array(["", "x" * 35, None, "abc", "é" * 4, "d", "", "x" * 9, "y" * 9])
+    rows = [range(len(texts))[part] for part in token_files._together(texts)]
+    assert [k for part in rows for k in part] == list(range(len(texts))) and all(rows)
+    assert all(sum(len((texts[k].as_py() or "").encode()) for k in part[1:]) < 10 for part in rows)
+    assert list(token_files._together(texts[:0])) == []
